@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vellum.llm._store import stored
+from vellum.llm.bpe import bpe
 from vellum.llm.line_dedup import line_dedup
 from vellum.llm.mixing import mix
+from vellum.llm.ngram_join import ngram_components
 from vellum.llm.quality_rules import quality_rules
+from vellum.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +24,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup(docs).selectExpr("doc_id", "text", "lang", "source", "cast(char_length(text) as bigint) as n_chars")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least id; documents without words all stay."""
+    first = ngram_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi")
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at equal weights: documents repeat or go."""
     return mix(docs).select(*docs.columns)
 
 
-STAGES = [("quality", quality), ("lines", lines), ("mixing", mixing)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source and the token ids of each copy, with their number and the hash of what they decode to."""
+    out = bpe(docs.select("doc_id", "source", "text"), vocabulary("byte_bpe_50k.json"))
+    return out.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixing", mixing), ("tokens", tokens)]
 ORACLE_SQL = None
 
 
