@@ -33,7 +33,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
+def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x + _U(salt)
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -58,7 +58,7 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     power = np.cumprod(np.full(len(data), _P, np.uint64))
     sums = np.r_[_U(0), np.cumsum((data.astype(np.uint64) + _U(1)) * power)]
     back = np.cumprod(np.full(len(data), _INVERSE, np.uint64))
-    word = _mixed((sums[end] - sums[start]) * back[start])
+    word = mixed((sums[end] - sums[start]) * back[start])
     doc = np.searchsorted(begins, start, side="right") - 1
     n = np.bincount(doc, minlength=len(raw))
     first = np.r_[0, np.cumsum(n)]
@@ -67,13 +67,13 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(WORDS):
             whole += word[k : k + len(whole)] * _PLACE[k]
         inside = doc[: len(whole)] == doc[WORDS - 1 :]
-        owner, got = doc[: len(whole)][inside], _mixed(whole[inside])
+        owner, got = doc[: len(whole)][inside], mixed(whole[inside])
     else:
         owner, got = np.empty(0, np.int64), np.empty(0, np.uint64)
     short = np.flatnonzero((n > 0) & (n < WORDS))
     if len(short):
         one = [sum(int(word[first[d] + k]) * int(_PLACE[k]) for k in range(n[d])) + int(n[d]) for d in short]
-        owner, got = np.r_[owner, short], np.r_[got, _mixed(np.array([x % 2**64 for x in one], np.uint64), 1)]
+        owner, got = np.r_[owner, short], np.r_[got, mixed(np.array([x % 2**64 for x in one], np.uint64), 1)]
     order = np.lexsort((got, owner))
     owner, got = owner[order], got[order]
     new = np.r_[True, (owner[1:] != owner[:-1]) | (got[1:] != got[:-1])]
@@ -88,8 +88,8 @@ def _digests(owner: np.ndarray, got: np.ndarray, n_docs: int) -> tuple[np.ndarra
     for salt in (2, 3):
         total = np.zeros(n_docs, np.uint64)
         if len(got):
-            total[n > 0] = np.add.reduceat(_mixed(got, salt), at[n > 0])
-        out.append(_mixed(total, salt).view(np.int64))
+            total[n > 0] = np.add.reduceat(mixed(got, salt), at[n > 0])
+        out.append(mixed(total, salt).view(np.int64))
     return n, out[0], out[1]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -15,11 +16,13 @@ from pyspark.sql import types as T
 
 from vellum.llm._store import ship
 from vellum.llm.bpe import blocks
+from vellum.llm.ngram_join import mixed, shingles
 
 #: The fit takes at most so many labelled documents of each kind, of at most so many code points each.
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 3000, 6000, 50_000
-#: A word marks toxic text if it stands in so many different surroundings in toxic texts, at so many times the clean rate.
-MIN_CONTEXTS, MIN_RATIO, MAX_WORDS = 8, 8.0, 5000
+#: A word marks toxic text if so many groups of near copies of toxic texts have it, at so many times the clean
+#: rate, and if fewer than CHANCE words of the vocabulary would do so by chance.
+MIN_GROUPS, MIN_RATIO, CHANCE, MAX_WORDS = 4, 8.0, 0.001, 5000
 #: Sequences and words of them for the field's weights; steps of the fit.
 FIT_SEQUENCES, FIT_WORDS, STEPS, RATE = 240, 500, 80, 0.2
 #: Words with the highest marginals that make the document's score.
@@ -82,24 +85,50 @@ def _padded(rows: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
     return out, length
 
 
+def _tail(k: int, n: int, p: float) -> float:
+    """Chance of k or more of n at probability p."""
+    log = lambda x: math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(p) + (n - x) * math.log(1 - p)
+    return sum(math.exp(log(x)) for x in range(k, n + 1))
+
+
+def _groups(texts: list[str]) -> list[int]:
+    """A number for each text; texts with one of three least shingle hashes in common have the same."""
+    up, first = list(range(len(texts))), {}
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for a, b in blocks(texts):
+        owner, got = shingles(texts[a:b])
+        at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
+        for salt in (11, 12, 13) if len(owner) else ():
+            for d, h in zip((owner[at] + a).tolist(), np.minimum.reduceat(mixed(got, salt), at).tolist(), strict=True):
+                up[root(d)] = root(first.setdefault((salt, h), d))
+    return [root(i) for i in range(len(texts))]
+
+
 def fit(rows: list[tuple[str, int]]) -> Field:
     """A field from (text, toxic) rows: the words that mark toxic texts, then weights by gradient ascent.
 
-    A word's label is toxic if its text is and the word marks toxic texts. Words are counted by their
-    different neighbours, so copies of one text count once. Without texts of both kinds nothing is toxic.
+    A word's label is toxic if its text is and the word marks toxic texts. Words are counted by groups of
+    near copies, so that a passage that many toxic texts share marks nothing. Without texts of both kinds
+    nothing is toxic.
     """
+    split = [(WORD.findall(text.lower()), toxic) for text, toxic in rows]
     seen: dict[str, list[set]] = defaultdict(lambda: [set(), set()])
-    split, total = [], [0, 0]
-    for text, toxic in rows:
-        words = WORD.findall(text.lower())
-        split.append((words, toxic))
-        total[toxic] += len(words)
-        for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-            seen[w][toxic].add((before, after))
+    total: list[set] = [set(), set()]
+    for (words, toxic), group in zip(split, _groups([text for text, _ in rows]), strict=True):
+        total[toxic].add(group)
+        for w in set(words):
+            seen[w][toxic].add(group)
     ratio = {}
-    if min(total):
+    if all(total):
+        share = len(total[1]) / (len(total[0]) + len(total[1]))
         for w, (clean, bad) in seen.items():
-            if len(bad) >= MIN_CONTEXTS and (r := (len(bad) / total[1]) / ((len(clean) + 0.5) / total[0])) >= MIN_RATIO:
+            if len(bad) >= MIN_GROUPS and (r := (len(bad) / len(total[1])) / ((len(clean) + 0.5) / len(total[0]))) >= MIN_RATIO and _tail(len(bad), len(clean) + len(bad), share) * len(seen) < CHANCE:
                 ratio[w] = float(min(np.log(r), 6.0))
     ratio = dict(Counter(ratio).most_common(MAX_WORDS))
     emit, move = np.array([-4.0, 1.0, 0.0, 0.0]), np.zeros((2, 2))
