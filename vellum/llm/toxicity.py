@@ -27,18 +27,41 @@ MIN_GROUPS, MIN_RATIO, CHANCE, MAX_WORDS = 4, 8.0, 0.001, 5000
 FIT_SEQUENCES, FIT_WORDS, STEPS, RATE = 240, 500, 80, 0.2
 #: Words with the highest marginals that make the document's score.
 TOP = 3
+#: Besides the word itself, its beginnings of these lengths can mark toxic text (inflected and compound words).
+#: A beginning needs so many different words in toxic texts.
+STEMS, STEM_WORDS = (4, 5, 6, 7), 3
 WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class Field:
-    """words: log ratio of each marking word; emit: weights of (1, ratio, ratio before, ratio after) for the toxic tag; move: weights between tags."""
+    """words: log ratio of each marking word, or beginning of words (with a hyphen after it); emit: weights of (1, ratio, ratio before, ratio after) for the toxic tag; move: weights between tags."""
 
     words: dict[str, float]
     emit: np.ndarray
     move: np.ndarray
 
 
+def marks(word: str) -> list[str]:
+    """What can mark toxic text in a word: itself and its beginnings."""
+    return [word, *(f"{word[:k]}-" for k in STEMS if k <= len(word))]
+
+
+def ratios(words: list[str], field_words: dict[str, float]) -> list[float]:
+    """Per word, the largest log ratio of its marks, or 0."""
+    heads = {x[:3] for x in field_words}
+    known: dict[str, float] = {}
+    out = []
+    for w in words:
+        if w[:3] not in heads:
+            out.append(0.0)
+            continue
+        if w not in known:
+            known[w] = max(field_words.get(m, 0.0) for m in marks(w))
+        out.append(known[w])
+    return out
+
+
 def _features(ratio: np.ndarray, length: np.ndarray) -> np.ndarray:
     """(texts, words, 4) from ratios padded with zeros."""
     before, after = np.zeros_like(ratio), np.zeros_like(ratio)
@@ -119,15 +142,21 @@ def fit(rows: list[tuple[str, int]]) -> Field:
     """
     split = [(WORD.findall(text.lower()), toxic) for text, toxic in rows]
     seen: dict[str, list[set]] = defaultdict(lambda: [set(), set()])
+    spelled: dict[str, set[str]] = defaultdict(set)
     total: list[set] = [set(), set()]
     for (words, toxic), group in zip(split, _groups([text for text, _ in rows]), strict=True):
         total[toxic].add(group)
         for w in set(words):
-            seen[w][toxic].add(group)
+            for m in marks(w):
+                seen[m][toxic].add(group)
+                if toxic:
+                    spelled[m].add(w)
     ratio = {}
     if all(total):
         share = len(total[1]) / (len(total[0]) + len(total[1]))
         for w, (clean, bad) in seen.items():
+            if w[-1] == "-" and len(spelled[w]) < STEM_WORDS:
+                continue
             if len(bad) >= MIN_GROUPS and (r := (len(bad) / len(total[1])) / ((len(clean) + 0.5) / len(total[0]))) >= MIN_RATIO and _tail(len(bad), len(clean) + len(bad), share) * len(seen) < CHANCE:
                 ratio[w] = float(min(np.log(r), 6.0))
     ratio = dict(Counter(ratio).most_common(MAX_WORDS))
@@ -137,7 +166,7 @@ def fit(rows: list[tuple[str, int]]) -> Field:
     if not ratio or not bad:
         return Field({}, np.array([-8.0, 0.0, 0.0, 0.0]), move)
     some = [(words[:FIT_WORDS], toxic) for words, toxic in bad + clean]
-    r, length = _padded([[ratio.get(w, 0.0) for w in words] for words, _ in some])
+    r, length = _padded([ratios(words, ratio) for words, _ in some])
     tag = (r > 0) * np.array([toxic for _, toxic in some])[:, None]
     x = _features(r, length)
     inside = np.arange(r.shape[1]) < length[:, None]
@@ -189,7 +218,7 @@ def score_texts(texts: list[str], field: Field) -> list[tuple[float, list[tuple[
     hard = []
     for i, text in enumerate(texts):
         words = WORD.findall(text.lower())
-        ratio = [field.words.get(w, 0.0) for w in words]
+        ratio = ratios(words, field.words)
         if any(ratio):
             hard.append((len(words), i, ratio))
             continue
@@ -210,7 +239,7 @@ def score_texts(texts: list[str], field: Field) -> list[tuple[float, list[tuple[
                 if len(text) == len(texts[i]):  # else lower case has other offsets
                     spans = [x.span() for x, p in zip(WORD.finditer(text), m[:n], strict=True) if p >= 0.5]
                 else:
-                    spans = [x.span() for x in WORD.finditer(texts[i]) if x[0].lower() in field.words]
+                    spans = [x.span() for x in WORD.finditer(texts[i]) if any(m in field.words for m in marks(x[0].lower()))]
             out[i] = (_score(m[:n]), spans)
     return out
 
