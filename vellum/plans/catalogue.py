@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import blocks
+from vellum.plans import blocks, ordered, relational
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _m in (blocks,):
+for _m in (blocks, relational, ordered):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
