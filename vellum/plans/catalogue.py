@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import blocks, evidence, layout, ordered, points, relational
+from vellum.plans import blocks, evidence, layout, ordered, points, relational, streams
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _m in (blocks, relational, ordered, layout, evidence, points):
+for _m in (blocks, relational, ordered, layout, evidence, points, streams):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +33,12 @@ def local_session(cpus: int | None = None, app: str = "vellum") -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder; any path that Spark's readers can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or this machine's where it is unset (tests)."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.vellum.scratch", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="vellum-scratch-")
+        spark.conf.set("spark.vellum.scratch", root)
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
