@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from vellum.llm._store import ship, stored
 from vellum.llm.components import components
 
-#: The rotation is fitted on at most so many vectors of each of at most so many dimensions, those of the least hashes.
-FIT_ROWS, FIT_DIMS = 20_000, 8
+#: The rotation is fitted on at most so many vectors, and numbers in them, of each of at most so many
+#: dimensions (the commonest); those of the least hashes.
+FIT_ROWS, FIT_VALUES, FIT_DIMS = 20_000, 2_000_000, 8
 FIT_STEPS, SEED, MAX_BITS = 30, 7, 64
 #: Codes of candidates differ in so many bits at most, for each 64 bits; reranking decides.
 RADIUS = 14
@@ -95,7 +96,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     dims = nodes.groupBy(F.size("vector").alias("dims")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dims").limit(FIT_DIMS).collect()
     models = {}
     for d in dims:
-        some = nodes.filter(F.size("vector") == d["dims"]).orderBy(F.xxhash64("node")).limit(FIT_ROWS).select("vector").collect()
+        some = nodes.filter(F.size("vector") == d["dims"]).orderBy(F.xxhash64("node")).limit(min(FIT_ROWS, max(1, FIT_VALUES // d["dims"]))).select("vector").collect()
         models[d["dims"]] = fit_rotation(np.array([r[0] for r in some]))
     n = sum(d["n"] for d in dims)
     width = max(8, min(22, math.ceil(math.log2(max(n, 2)))))

@@ -186,14 +186,14 @@ def fit(rows: list[tuple[str, int]]) -> Field:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, toxic) of at most FIT_TOXIC and FIT_CLEAN labelled documents that are not held out, the least hashes first."""
+    """doc_id, toxic, text of at most FIT_TOXIC and FIT_CLEAN labelled documents that are not held out, the least hashes first."""
     own = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     own = own.withColumn("h", F.xxhash64(F.lit("fit"), F.col("doc_id")))
     part = lambda k, n: own.filter(F.col("toxic") == k).orderBy("h", "doc_id").limit(n)
     some = part(1, FIT_TOXIC).union(part(0, FIT_CLEAN)).select("doc_id", "toxic")  # bounded by the two numbers
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text")).join(F.broadcast(some), "doc_id")
-    return rows.filter(F.char_length("text") <= FIT_CHARS).select("doc_id", "text", "toxic")
+    return rows.filter(F.char_length("text") <= FIT_CHARS).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def held_out(ident):
@@ -203,8 +203,8 @@ def held_out(ident):
 
 def fit_field(docs: DataFrame, labels: DataFrame) -> Field:
     """The field of a bounded, fixed sample of the labelled rows, fitted on the driver."""
-    rows = training_rows(docs, labels).limit(FIT_TOXIC + FIT_CLEAN + 1000).collect()
-    return fit([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
+    rows = training_rows(docs, labels).collect()  # the two bounds, at most
+    return fit([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["toxic"]))])
 
 
 def score_texts(texts: list[str], field: Field) -> list[tuple[float, list[tuple[int, int]]]]:
