@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import units
-from vellum.operators import graph, markers, relational, spatial
+from vellum.operators import digitize, graph, markers, relational, spatial
 from vellum.sources import files, sinks
 from vellum.streaming import queues
 
@@ -151,3 +151,36 @@ def test_stream_leases_same_as_replay(spark):
             out, until = "renewed", at + 3600
         state[r["user_id"]], want[r["event_id"]] = (until, gen), (gen, out)
     assert got == want
+
+
+def test_points_of_all_shapes(spark):
+    payload = {
+        "data_points": [{"x": 1, "y": 2, "y_unit": "mM"}, {"x": 1, "y": 2, "y_unit": "mM"}, {"values": {"a": 3, "b": 4}, "gene": "g"}, {"type": "boxplot", "min": 1, "median": 2.5, "label": "s"}, "noise"],
+        "series": [{"name": "s1", "points": [{"x": "Day 2", "y": 5}, {"points": [{"x": 7, "y": 0.0, "z": "high"}]}]}, {"s2": {"data_points": [{"x": 9, "y": 9, "value_source": "table_exact", "x_axis_label": "t", "y_axis_label": "c", "x_unit": "h", "y_unit": "M"}]}}],
+    }
+    df = spark.createDataFrame([("p", "f", "a", "text ```json\n" + json.dumps(payload) + "\n``` end"), ("p", "f", "b", "no json")], "paper_id string, figure_id string, panel_id string, payload string")
+    pts = digitize.gate_points(digitize.dedupe_points(digitize.explode_points(df), ["paper_id", "figure_id", "panel_id"]))
+    got = [(r["series_name"], r["x_value"], r["category_label"], r["y_value"], r["z_text"], r["gated_confidence"]) for r in pts.orderBy("point_index").collect()]
+    assert got == [
+        ("", 1.0, "", 2.0, None, 0.5), ("g", None, "a", 3.0, None, 0.5), ("g", None, "b", 4.0, None, 0.5), ("", None, "min", 1.0, None, 0.5), ("", None, "median", 2.5, None, 0.5),
+        ("s1", None, "Day 2", 5.0, None, 0.5), ("s1", 7.0, "", 0.0, "high", 0.5), ("s2", 9.0, "", 9.0, None, 0.5),
+    ]
+    assert [r["needs_verification"] for r in pts.orderBy("point_index").collect()] == [True] * 7 + [False]
+    results = spark.createDataFrame([("p", "f", "a", 0.7, "digitized"), ("p", "f", "c", 0.4, None)], "paper_id string, figure_id string, panel_id string, extraction_confidence double, digitization_status string")
+    events = spark.createDataFrame([("p", "f", "a", 0, "failed", "x"), ("p", "f", "d", 1, "skipped", "visual_asset_too_small"), ("p", "f", "d", 2, "failed", "y")], "paper_id string, figure_id string, panel_id string, pos int, event string, reason string")
+    facts = {(r["panel_id"], r["point_index"], r["digitization_status"]) for r in digitize.fact_rows(pts, results, events).collect()}
+    assert facts == {("a", str(i), "digitized") for i in range(8)} | {("c", "axis", "unknown"), ("d", "", "too_low_resolution")}
+
+
+def test_small_expressions(spark):
+    one = spark.range(1).select(
+        digitize.cap(F.array(F.lit("missing_x_axis_label"), F.lit("missing_y_axis_label"))).alias("a"), digitize.cap(F.array(F.lit("axis_readability_unknown"))).alias("b"),
+        digitize.repair_summary(F.array(*[F.lit("error")] * 3)).alias("c"), digitize.repair_summary(F.array(F.lit("warn"))).alias("d"),
+        digitize.axis_values(F.array(*[F.lit(float(x)) for x in range(11)])).alias("e"), digitize.axis_values(F.array(F.lit(2.0), F.lit(1.0), F.lit(2.0))).alias("f"),
+        digitize.natural_key(F.lit("s"), F.lit("b"), F.lit(3), F.lit('{"b":1,"a":2}')).alias("g"), digitize.natural_key(F.lit("s"), F.lit("b"), F.lit(3), F.lit('{"a": 2, "b": 1}')).alias("h"),
+        digitize.result_reasons(F.lit("failed"), F.lit("readable"), F.lit(None).cast("string")).alias("i"),
+    ).first()
+    assert (one["a"], one["b"], one["c"], one["d"]) == (0.55, 0.6, True, False)
+    assert one["e"] == [0.0, 2.5, 5.0, 7.5, 10.0] and one["f"] == [1.0, 2.0]
+    assert one["g"] == one["h"] and one["g"].startswith("s:b:00000003:")
+    assert one["i"] == ["digitization_status_failed", "calibration_status_unknown"]
