@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import units
+from vellum.operators import digitize
 from vellum.operators.relational import latest_per_key
 from vellum.session import table
 
@@ -104,3 +105,21 @@ SELECT *, unit_dimension <> '' AND unit_dimension = metric_dimension AS compatib
     "nearest_palette": "WITH p AS (SELECT vec_id AS k, embedding AS q FROM embeddings ORDER BY vec_id LIMIT 10), x AS (SELECT vec_id, k, list_distance(embedding::DOUBLE[], q::DOUBLE[]) AS d FROM embeddings, p) SELECT vec_id, k AS nearest, round(d * d, 4) AS distance FROM x QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1",
     "alias_fields": "SELECT event_id, coalesce(nullif(value, 0), 0.5)::DOUBLE AS confidence, coalesce(nullif(props::JSON->>'label', ''), event_type) AS label FROM events",
 }
+
+
+def payload_points(spark, d):
+    """Points of JSON payloads (a series for each event type of a user), exploded, numbered and gated."""
+    e = table(spark, d, "events")
+    series = e.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("x"), F.col("value").alias("y"), F.lit("u").alias("y_unit")))).alias("data_points"))
+    payload = F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(F.col("event_type").alias("name"), "data_points"))).alias("series")))
+    pts = digitize.gate_points(digitize.dedupe_points(digitize.explode_points(series.groupBy("user_id").agg(payload.alias("payload"))), ["user_id"]))
+    return pts.groupBy("user_id", "series_name").agg(
+        F.count("*").alias("n_points"), F.min("point_index").cast("bigint").alias("first_index"), F.round(F.sum("y_value"), 2).alias("total"), F.max("gated_confidence").alias("confidence"), F.first("review_reason").alias("reasons")
+    )
+
+
+QUERIES["payload_points"] = payload_points
+ORACLE["payload_points"] = """
+WITH n AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id) - 1 AS i FROM events)
+SELECT user_id, event_type AS series_name, count(*) AS n_points, min(i) AS first_index, round(sum(value), 2) AS total, 0.5::DOUBLE AS confidence,
+ 'missing_x_axis_label;missing_y_axis_label;missing_x_axis_unit;visual_digitization_needs_verification' AS reasons FROM n GROUP BY ALL"""
