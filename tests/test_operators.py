@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import units
-from vellum.operators import digitize, graph, markers, relational, spatial
+from vellum.operators import assets, audit, digitize, graph, markers, ontology, relational, spatial
 from vellum.sources import files, sinks
 from vellum.streaming import queues
 
@@ -119,6 +119,8 @@ def test_clusters_same_as_a_slow_fold(spark):
 def test_unit_traps(spark):
     df = spark.createDataFrame([("%",), ("mm",), ("Pa",), ("bar",), ("",), (None,)], "u string").select(units.unit_dimension(F.col("u")).alias("d"))
     assert [r["d"] for r in df.collect()] == ["signal", "concentration", "stress", "pressure", "", ""]
+    df = spark.createDataFrame([("phosphate",), ("biomass",), ("Growth-Rate",), ("",), (None,), ("yield",)], "m string").select(units.metric_dimension(F.col("m")).alias("d"))
+    assert [r["d"] for r in df.collect()] == ["acidity", "mass", "rate", "", "", "fraction"]
 
 
 def test_snapshot_and_append(spark, tmp_path):
@@ -184,3 +186,36 @@ def test_small_expressions(spark):
     assert one["e"] == [0.0, 2.5, 5.0, 7.5, 10.0] and one["f"] == [1.0, 2.0]
     assert one["g"] == one["h"] and one["g"].startswith("s:b:00000003:")
     assert one["i"] == ["digitization_status_failed", "calibration_status_unknown"]
+
+
+def test_audit_rebuild(spark):
+    cols = "panel_id string, point_index string, x_value string, y_value string, z_value string, digitization_status string"
+    facts = spark.createDataFrame([("a", "axis", "", "", "", "digitized"), ("b", "1", "x", "", "", ""), ("c", "", "", "", "", "failed"), (None, "", "", "", "", "")], cols)
+    rebuilt = spark.createDataFrame([("a", "1", "Day 2", "1800", "", ""), ("a", "2", "Day 30", "1200", "", ""), ("b", "1", "no", "", "", ""), ("d", "1", "x", "0.0", "0.3", "")], cols)
+    got = sorted((r["panel_id"] or "", r["point_index"], r["x_value"]) for r in audit.rebuild_facts(facts, rebuilt).collect())
+    assert got == [("", "", ""), ("a", "1", "Day 2"), ("a", "2", "Day 30"), ("b", "1", "x"), ("c", "", ""), ("d", "1", "x")]
+    packets = spark.createDataFrame([("a", "x/1.png", 0), ("a", "y/2.png", 1), ("a", "", 2)], "panel_id string, image_ref string, pos int")
+    assert audit.panel_images(packets).first()["image"] == "2.png"
+    rows, total = audit.string_matrix(facts, {"panel": ["panel_id"], "gone": []}, ["point_index", "panel_id"], 2)
+    assert total == 4 and [r["gone"] for r in rows.collect()] == ["", ""]
+
+
+def test_assets(spark):
+    a = lambda *v: spark.createDataFrame([v], "w int, h int, size int, caption string, near string, panel string, kind string")
+    c = F.col
+    skip = assets.skip_reason(c("w"), c("h"), c("size"), c("caption"), c("near"))
+    out = lambda *v: tuple(a(*v).select(skip, assets.asset_readiness(skip, c("caption"), c("panel")), assets.image_readability(c("w"), c("h")), assets.evidence_shape(c("kind"), c("caption"), c("near"), F.lit(0.0))).first())
+    assert out(10, 40, 5, "", " ", None, "image") == ("too small: 10x40; file too small: 5 bytes; missing caption and nearby context", "skip", "too_small", "conceptual_schematic")
+    assert out(100, 400, 5000, "SEM image", "", None, "image") == (None, "ready", "low_resolution", "microscopy_structure")
+    assert out(None, 400, 5000, "growth", "", "a", "chart") == (None, "low_confidence", "unknown", "experimental_performance_plot")
+
+
+def test_ontology(spark):
+    rows = [("r", "growth rate", "1/h", "p1", 0), ("r", "growth rate", "1/s", "p2", 1), ("r", "pore size", "inch", "p1", 2), ("r", "pore size", "nm", "p1", 2), ("r", "yield", "kg", "p1", 3), ("other", "growth rate", "1/h", "p3", 4)]
+    df = spark.createDataFrame([(r, m, u, p, "f", "a", "", ["e"], None, 0.5, i) for r, m, u, p, i in rows], "rejection_reason string, metric_name string, unit string, paper_id string, figure_id string, panel_id string, evidence_text string, evidence_ids array<string>, group_id string, confidence double, pos int")
+    got = ontology.gap_candidates(df, ["r"])
+    assert {(r["metric_name"], r["support_count"], r["approval_status"], round(r["proposal_confidence"], 3)) for r in got.collect()} == {("growth rate", 2, "auto_accepted_overlay", 0.65), ("pore size", 1, "auto_proposed_review_required", 0.65)}
+    assert [tuple(r) for r in ontology.overlay(got).collect()] == [("growth rate", "rate", 2)]
+    pairs = spark.createDataFrame([("m", "mg / L"), ("m", "kg"), ("m", ""), ("n", "x")], "metric string, unit string")
+    contract = spark.createDataFrame([("m", ["mg/L"])], "metric string, units array<string>")
+    assert {(r["metric"], r["unit"], r["allowed"]) for r in ontology.unit_allowed(pairs, contract).collect()} == {("m", "mg / L", True), ("m", "kg", False), ("m", "", False), ("n", "x", True)}

@@ -39,6 +39,29 @@ METRIC_RULES = [
 ]
 
 
+#: Dimension -> terms; they decide, in order, where no rule does.
+METRIC_TERMS = {
+    "concentration": ["concentration", "titer", "metabolite", "product", "substrate", "lactate", "glucose", "acetate", "ethanol", "nitrate", "phosphate", "ammonia"],
+    "rate": ["rate", "flux", "removal rate", "fixation rate", "growth rate", "production rate", "uptake rate"],
+    "time": ["time", "duration", "lag", "half life", "response time", "retention time"],
+    "cell_concentration": ["cell density", "cell count", "CFU", "MPN", "colonization", "viable count"],
+    "signal": ["signal", "intensity", "fluorescence", "absorbance", "optical density", "OD600", "reporter", "response"],
+    "fraction": ["fraction", "percentage", "efficiency", "yield", "viability", "survival", "retention", "removal", "degradation", "conversion", "coverage", "content"],
+    "mass": ["mass", "amount", "weight", "biomass"],
+    "normalized_mass": ["specific", "normalized", "content", "capacity", "loading"],
+    "enzyme_activity": ["enzyme activity", "specific activity", "catalytic activity", "activity"],
+    "stress": ["strength", "stress", "modulus", "stiffness", "elastic"],
+    "force": ["force", "load", "peak load"],
+    "viscosity": ["viscosity", "viscous"],
+    "length": ["length", "diameter", "radius", "size", "pore size", "particle size", "zone", "thickness"],
+    "area": ["area", "surface area", "coverage"],
+    "volume": ["volume", "swelling volume"],
+    "surface_area": ["BET", "surface area", "specific surface area"],
+    "temperature": ["temperature", "thermal"],
+    "acidity": ["pH", "acidity"],
+    "electrical": ["voltage", "current", "resistance", "conductivity", "electrical"],
+    "pressure": ["pressure"],
+}
 _FOLDS = ((" ", ""), ("*", ""), ("·", ""), ("^", ""), ("per", "/"))
 
 
@@ -68,9 +91,10 @@ def unit_dimension(c: Column) -> Column:
 
 
 def metric_dimension(c: Column) -> Column:
-    """The dimension of the first rule whose term the name contains, or ''."""
-    text = F.replace(F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9%]+", " ")), F.lit(" "), F.lit("_"))
-    out = F.lit("")
-    for term, dim in reversed(METRIC_RULES):
-        out = F.when(text.contains(term), dim).otherwise(out)
-    return out
+    """The dimension of the first rule whose term the name contains, else of the first dimension with a term in it, or ''."""
+    text = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9%]+", " "))
+    joined = F.replace(text, F.lit(" "), F.lit("_"))
+    rules = [(joined, t, dim) for t, dim in METRIC_RULES] + [(text, t.lower(), dim) for dim, terms in METRIC_TERMS.items() for t in terms]
+    # an array of the dimensions whose term is there; its first element decides
+    hits = F.array_compact(F.array(*[F.when(where.contains(t), dim) for where, t, dim in rules]))
+    return F.coalesce(F.get(hits, F.lit(0)), F.lit(""))

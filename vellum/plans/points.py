@@ -90,7 +90,8 @@ QUERIES = {f.__name__: f for f in (props_json, canonical_hash, point_dedupe, poi
 _VALUES = ", ".join(f"('{m}', '{u}')" for m, u in PAIRS)
 _FOLD = "replace(replace(replace(replace(replace(lower(trim({0})), ' ', ''), '*', ''), '·', ''), '^', ''), 'per', '/')"
 _UNIT_ROWS = ", ".join(f"({i}, '{dim}', '{u}')" for i, (dim, u) in enumerate((dim, u) for dim, us in units.UNITS.items() for u in us))
-_RULE_ROWS = ", ".join(f"({i}, '{t}', '{dim}')" for i, (t, dim) in enumerate(units.METRIC_RULES))
+_RULES = [(t, dim) for t, dim in units.METRIC_RULES] + [(t.lower().replace(" ", "_"), dim) for dim, terms in units.METRIC_TERMS.items() for t in terms]
+_RULE_ROWS = ", ".join(f"({i}, '{t}', '{dim}')" for i, (t, dim) in enumerate(_RULES))
 ORACLE = {
     "props_json": "WITH e AS (SELECT event_type, (props::JSON->>'k')::INT AS k FROM events) SELECT (k // 10)::BIGINT AS bucket, event_type, count(*) AS n, sum(k)::BIGINT AS total, count(*) FILTER (WHERE k IS NULL) AS n_missing FROM e GROUP BY ALL",
     "canonical_hash": """WITH c AS (SELECT *, sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}') AS h FROM events) SELECT event_id, 'u' || user_id || ':' || event_type || ':' || lpad(event_id::VARCHAR, 8, '0') || ':' || substr(h, 1, 16) AS natural_key, h AS payload_hash FROM c""",
