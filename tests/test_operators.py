@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import units
-from vellum.operators import assets, audit, digitize, graph, markers, ontology, relational, spatial
+from vellum.operators import assets, audit, digitize, graph, markers, ontology, relational, repair, spatial
 from vellum.sources import files, sinks
 from vellum.streaming import queues
 
@@ -219,3 +219,20 @@ def test_ontology(spark):
     pairs = spark.createDataFrame([("m", "mg / L"), ("m", "kg"), ("m", ""), ("n", "x")], "metric string, unit string")
     contract = spark.createDataFrame([("m", ["mg/L"])], "metric string, units array<string>")
     assert {(r["metric"], r["unit"], r["allowed"]) for r in ontology.unit_allowed(pairs, contract).collect()} == {("m", "mg / L", True), ("m", "kg", False), ("m", "", False), ("n", "x", True)}
+
+
+def test_repair(spark):
+    spec = {
+        "kind": repair.Field("string", enum=("trend", "other"), words={"qualitative_trend": "trend"}),
+        "score": repair.Field("number", aliases=("confidence",), default=0.4),
+        "ok": repair.Field("boolean"),
+        "ids": repair.Field("array"),
+        "note": repair.Field("string"),
+    }
+    good = {"kind": "qualitative_trend", " '.confidence' ": "high", "ok": "yes", "ids": "e1", "note": ["a", "", "b"], "": 1, "extra": {}}
+    df = spark.createDataFrame([(0, json.dumps(good)), (1, "nope"), (2, "[1]"), (3, '```json\n{"ok": true, "ids": ["x"], "note": 5, "score": 0.7, "kind": "trend"}\n```'), (4, "{}")], "k int, payload string")
+    got = {r["k"]: r for r in repair.repair(df, spec).collect()}
+    assert tuple(got[0])[1:6] == ("trend", 0.9, True, ["e1"], "a; b")
+    assert {(r["path"], r["repair"]) for r in got[0]["repairs"]} == {("kind", "enum_value"), ("score", "copy_alias_property"), ("score", "string_to_number"), ("ok", "string_to_boolean"), ("ids", "scalar_to_array"), ("note", "array_to_string"), ("", "noise_key_dropped"), ("extra", "drop_additional_property")}
+    assert [got[k]["degraded"] for k in range(5)] == [False, True, True, False, True]
+    assert tuple(got[3])[1:6] == ("trend", 0.7, True, ["x"], "5") and [r["repair"] for r in got[3]["repairs"]] == ["scalar_to_string"]
