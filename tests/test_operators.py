@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import units
-from vellum.operators import assets, audit, digitize, graph, markers, ontology, relational, repair, spatial
+from vellum.operators import assets, audit, digitize, graph, heatmap, markers, ontology, relational, repair, spatial
 from vellum.sources import files, sinks
 from vellum.streaming import queues
 
@@ -178,7 +178,7 @@ def test_small_expressions(spark):
     one = spark.range(1).select(
         digitize.cap(F.array(F.lit("missing_x_axis_label"), F.lit("missing_y_axis_label"))).alias("a"), digitize.cap(F.array(F.lit("axis_readability_unknown"))).alias("b"),
         digitize.repair_summary(F.array(*[F.lit("error")] * 3)).alias("c"), digitize.repair_summary(F.array(F.lit("warn"))).alias("d"),
-        digitize.axis_values(F.array(*[F.lit(float(x)) for x in range(11)])).alias("e"), digitize.axis_values(F.array(F.lit(2.0), F.lit(1.0), F.lit(2.0))).alias("f"),
+        heatmap.axis_values(F.array().cast("array<double>"), F.lit(0.0), F.lit(10.0)).alias("e"), heatmap.axis_values(F.array(F.lit(2.0), F.lit(1.0), F.lit(2.0)), F.lit(None), F.lit(None)).alias("f"),
         digitize.natural_key(F.lit("s"), F.lit("b"), F.lit(3), F.lit('{"b":1,"a":2}')).alias("g"), digitize.natural_key(F.lit("s"), F.lit("b"), F.lit(3), F.lit('{"a": 2, "b": 1}')).alias("h"),
         digitize.result_reasons(F.lit("failed"), F.lit("readable"), F.lit(None).cast("string")).alias("i"),
     ).first()
@@ -236,3 +236,14 @@ def test_repair(spark):
     assert {(r["path"], r["repair"]) for r in got[0]["repairs"]} == {("kind", "enum_value"), ("score", "copy_alias_property"), ("score", "string_to_number"), ("ok", "string_to_boolean"), ("ids", "scalar_to_array"), ("note", "array_to_string"), ("", "noise_key_dropped"), ("extra", "drop_additional_property")}
     assert [got[k]["degraded"] for k in range(5)] == [False, True, True, False, True]
     assert tuple(got[3])[1:6] == ("trend", 0.7, True, ["x"], "5") and [r["repair"] for r in got[3]["repairs"]] == ["scalar_to_string"]
+
+
+def test_heatmap(spark):
+    boxes = ['[0.1, 0.2, 0.5, 0.6]', '{"left": 10, "top": 20, "right": 300, "bottom": 60}', '{"x": 1, "y": 2, "width": 3, "height": 4}', "[5, 5, 5, 9]", '{"x": 1}']
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(boxes)], "k int, b string")
+    got = [r["box"] for r in df.select("k", heatmap.coerce_box(F.parse_json("b"), F.lit(200), F.lit(100)).alias("box")).orderBy("k").collect()]
+    assert got == [[20, 20, 100, 60], [10, 20, 199, 60], [1, 2, 4, 6], None, None]
+    p = spark.createDataFrame([("a", [0.0, 0.0, 4.0, 2.0], [1.0, 2.0], [10.0])], "panel string, bbox array<double>, xs array<double>, ys array<double>")
+    assert [(r["x_value"], r["y_value"], r["px"], r["py"]) for r in heatmap.grid(p, "xs", "ys").orderBy("i").collect()] == [(1.0, 10.0, 1, 1), (2.0, 10.0, 3, 1)]
+    palette = F.array(*[F.struct(F.array(*map(F.lit, c)).alias("rgb"), F.lit(v).alias("value")) for c, v in (((0, 0, 0), 0.0), ((255, 255, 255), 1.0), ((0, 0, 0), 9.0))])
+    assert spark.range(1).select(heatmap.nearest_value(F.array(F.lit(9), F.lit(9), F.lit(9)), palette)).first()[0] == 0.0

@@ -149,14 +149,6 @@ def fact_rows(points: DataFrame, results: DataFrame, events: DataFrame) -> DataF
     return own.unionByName(axis).unionByName(gone)
 
 
-def axis_values(values: Column, n: int = 5) -> Column:
-    """Sorted distinct values if there are ten or fewer, else n evenly spaced ones, rounded to 6 digits."""
-    d = F.array_sort(F.array_distinct(values))
-    lo, hi = F.element_at(d, 1), F.element_at(d, -1)
-    spaced = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.round(lo + (hi - lo) * i / (n - 1), 6))
-    return F.when(F.size(d) <= 10, d).otherwise(spaced)
-
-
 def natural_key(scope: Column, base: Column, index: Column, payload: Column) -> Column:
     """scope:base:index8:hash16 with the SHA-256 of the payload's canonical JSON (sorted keys, compact)."""
     return F.concat_ws(":", scope, F.substring(base, 1, 120), F.lpad(index.cast("string"), 8, "0"), F.substring(F.sha2(F.to_json(F.parse_json(payload)), 256), 1, 16))
