@@ -18,6 +18,8 @@ from vellum.llm.bpe import blocks
 from vellum.llm.components import components
 
 WORDS = 5
+#: Ranges of tokens that are counted apart, at least; with more shuffle partitions, as many as those.
+BUCKETS = 64
 #: Documents of one cell of the search; a larger cluster is searched in pairs of such blocks.
 CELL = 1500
 #: Members of a component that a set is compared with before it searches.
@@ -204,22 +206,38 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             yield batch.slice(a, b - a), *shingles(texts[a:b])
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, text) -> id, n_shingles, h1, h2: the size and a 128-bit hash of each document's set."""
+def _tokens(owner: np.ndarray, got: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document's place, bucket, token) of all distinct tokens, sorted.
+
+    A bucket is a range of shingles, a token 32 other bits of one: it may stand for several, which only
+    adds candidates.
+    """
+    bucket = ((got >> _U(32)) * _U(n_buckets)) >> _U(32)
+    token = got & _U(0xFFFFFFFF)
+    order = np.lexsort((token, bucket, owner))
+    owner, bucket, token = owner[order], bucket[order], token[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1]) | (token[1:] != token[:-1])
+    return owner[new], bucket[new], token[new]
+
+
+def shingle_sets(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """(id, text) -> id, n_shingles, n_tokens, h1, h2: the size of each document's set and 128 bits of hash of it."""
 
     def run(batches):
         for block, owner, got in _batches(batches):
             n, h1, h2 = _digests(owner, got, block.num_rows)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2)], names=["id", "n_shingles", "h1", "h2"])
+            size = np.bincount(_tokens(owner, got, n_buckets)[0], minlength=block.num_rows)
+            cols = [block.column(0), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(h1), pa.array(h2)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n_shingles", "n_tokens", "h1", "h2"])
 
-    return docs.mapInArrow(run, "id bigint, n_shingles bigint, h1 bigint, h2 bigint")
+    return docs.mapInArrow(run, "id bigint, n_shingles bigint, n_tokens bigint, h1 bigint, h2 bigint")
 
 
 def _postings(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """bucket, set (h1), size, prefix, tokens: a document's tokens (32 bits each) by ranges of the hash.
+    """bucket, sets, counts, tokens: a row for each block of texts and bucket, with each set's tokens (4 bytes) there.
 
-    A token is a bucket and 32 other bits of a shingle: it may stand for several, which only adds
-    candidates. A task sends a set that it has sent before no second time.
+    A task sends a set that it has sent before no second time.
     """
 
     def run(batches):
@@ -232,58 +250,47 @@ def _postings(docs: DataFrame, n_buckets: int) -> DataFrame:
                     seen.add(h)
                     fresh[d] = True
             use = fresh[owner]
-            owner, got = owner[use], got[use]
+            owner, bucket, token = _tokens(owner[use], got[use], n_buckets)
             if not len(owner):
                 continue
-            bucket = ((got >> _U(32)) * _U(n_buckets)) >> _U(32)
-            token = got & _U(0xFFFFFFFF)
-            order = np.lexsort((token, bucket, owner))
+            order = np.argsort(bucket, kind="stable")
             owner, bucket, token = owner[order], bucket[order], token[order]
-            new = np.r_[True, (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1]) | (token[1:] != token[:-1])]
-            owner, bucket, token = owner[new], bucket[new], token[new]
-            size = np.bincount(owner, minlength=block.num_rows)
-            row = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])])
-            at = owner[row]
-            ends = np.r_[row, len(owner)].astype(np.int32) * 4
-            blob = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(token.astype("<u4"))])
-            prefix = n - (4 * n + 4) // 5 + 1
-            cols = [bucket[row].astype(np.int32), h1[at], size[at].astype(np.int32), prefix[at].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), blob], names=["bucket", "set", "size", "prefix", "tokens"])
-
-    return docs.mapInArrow(run, "bucket int, set bigint, size int, prefix int, tokens binary")
-
+            run_at = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])])
+            of = bucket[run_at]
+            row = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            run_ends, token_ends = np.r_[row, len(run_at)], np.r_[run_at[row], len(token)]
+            cells = lambda ends, x: pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+            counts = np.diff(np.r_[run_at, len(token)]).astype("<u4")
+            cols = [pa.array(of[row].astype(np.int32)), cells(run_ends, h1[owner[run_at]].astype("<i8")), cells(run_ends, counts), cells(token_ends, token.astype("<u4"))]
+            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "sets", "counts", "tokens"])
 
-def _flat(blobs: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and values of 32-bit numbers in binary cells."""
-    cells = blobs.to_pylist()
-    return np.array([len(x) // 4 for x in cells], np.int64), np.frombuffer(b"".join(cells), "<u4")
+    return docs.mapInArrow(run, "bucket int, sets binary, counts binary, tokens binary")
 
 
 def _shared(table: pa.Table) -> pa.Table:
     """One bucket's inverted lists: per set, the tokens that other sets have too, with the number of sets."""
-    n, token = _flat(table["tokens"])
-    row = np.repeat(np.arange(len(n)), n)
-    sets = table["set"].to_numpy()
-    owner = sets[row]
+    flat = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+    token, owner = flat("tokens", "<u4"), np.repeat(flat("sets", "<i8"), flat("counts", "<u4"))
     order = np.lexsort((owner, token))
-    token, owner, row = token[order], owner[order], row[order]
-    new = np.r_[True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])] if len(token) else np.empty(0, bool)
-    token, owner, row = token[new], owner[new], row[new]
-    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
-    count = np.diff(np.r_[start, len(token)])
+    token, owner = token[order], owner[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+    token, owner = token[new], owner[new]
+    first = np.ones(len(token), bool)
+    first[1:] = token[1:] != token[:-1]
+    count = np.diff(np.r_[np.flatnonzero(first), len(token)])
     df = np.repeat(count, count)
-    token, owner, row, df = (x[df >= 2] for x in (token, owner, row, df))
+    token, owner, df = (x[df >= 2] for x in (token, owner, df))
     order = np.argsort(owner, kind="stable")
-    token, owner, row, df = token[order], owner[order], row[order], df[order]
-    at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
+    token, owner, df = token[order], owner[order], df[order]
+    first = np.ones(len(owner), bool)
+    first[1:] = owner[1:] != owner[:-1]
+    at = np.flatnonzero(first)
     ends = np.r_[at, len(owner)].astype(np.int32)
     cell = lambda x: pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends * 4), pa.py_buffer(np.ascontiguousarray(x.astype("<u4")))])
-    size, prefix = table["size"].to_numpy()[row[at]], table["prefix"].to_numpy()[row[at]]
-    bucket = np.full(len(at), table["bucket"][0].as_py() if table.num_rows else 0, np.int32)
-    return pa.table(
-        {"bucket": bucket, "set": owner[at], "size": size, "prefix": prefix, "n": np.diff(ends), "tokens": cell(token), "counts": cell(df)},
-        schema=pa.schema([("bucket", pa.int32()), ("set", pa.int64()), ("size", pa.int32()), ("prefix", pa.int32()), ("n", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())]),
-    )
+    bucket = np.full(len(at), table["bucket"][0].as_py(), np.int32)
+    cols = [pa.array(bucket), pa.array(owner[at], pa.int64()), pa.array(np.diff(ends), pa.int32()), cell(token), cell(df)]
+    return pa.table(cols, names=["bucket", "set", "n", "tokens", "counts"])
 
 
 def _rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,16 +307,17 @@ def _rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(sets))], names=["token", "set"])
 
 
-def _candidates(docs: DataFrame, n_buckets: int) -> DataFrame:
+def _candidates(docs: DataFrame, sets: DataFrame, n_buckets: int) -> DataFrame:
     """(set, other): every two sets that can link are connected by such pairs.
 
     Two sets with similarity 0.8 share a token of their prefixes: the n - ceil(0.8 n) + 1 rarest of n.
     A set with that many tokens of its own has no candidate, and its tokens go no further.
     """
-    shared = _postings(docs, n_buckets).groupBy("bucket").applyInArrow(_shared, "bucket int, set bigint, size int, prefix int, n int, tokens binary, counts binary")
-    cells = shared.groupBy("set").agg(
-        (F.first("prefix") - (F.first("size") - F.sum("n"))).cast("int").alias("take"), F.collect_list(F.struct("bucket", "tokens", "counts")).alias("cells")
-    )
+    shared = _postings(docs, n_buckets).groupBy("bucket").applyInArrow(_shared, "bucket int, set bigint, n int, tokens binary, counts binary")
+    cells = shared.groupBy("set").agg(F.sum("n").alias("n"), F.collect_list(F.struct("bucket", "tokens", "counts")).alias("cells"))
+    sizes = sets.groupBy(F.col("h1").alias("set")).agg(F.max("n_shingles").alias("n_shingles"), F.min("n_tokens").alias("n_tokens"))
+    prefix = F.col("n_shingles") - F.expr("(4 * n_shingles + 4) div 5") + 1
+    cells = cells.join(sizes, "set").withColumn("take", (prefix - (F.col("n_tokens") - F.col("n"))).cast("int"))
     lists = stored(cells.filter("take > 0").select("set", "take", "cells").mapInArrow(_rarest, "token bigint, set bigint"), "prefixes")
     first = lists.groupBy("token").agg(F.min("set").alias("other"), F.max("set").alias("last")).filter("other <> last").select("token", "other")
     return lists.join(first, "token").filter("set <> other").select("set", "other").distinct()
@@ -352,8 +360,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the search, however many they are; rows that repeat an id are documents with that id. A null id is
     no component_id unless no other id is in its component. An empty table gives an empty table. Other columns are not read.
 
-    Plan: one pass tells each document's set (24 bytes). A second one sends every different set's tokens
-    to the bucket of their hash range, 4 bytes each, where tokens of one set only are dropped; the
+    Plan: one pass tells each document's set (40 bytes). A second one sends every different set's tokens
+    to the bucket of their hash range, 4 bytes each and 12 for a set, where tokens of one set only are dropped; the
     tokens left order each set's prefix by rareness, and sets that share a token of their prefixes make
     clusters. Only texts of clusters move: a cell (a cluster, or two blocks of a large one) is searched
     with DivideSkip, and pairs that are already connected are not probed.
@@ -361,8 +369,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    sets = stored(shingle_sets(rows), "sets")
-    pairs = _candidates(rows, max(16, partitions(spark)))
+    n_buckets = max(BUCKETS, partitions(spark))
+    sets = stored(shingle_sets(rows, n_buckets), "sets")
+    pairs = _candidates(rows, sets, n_buckets)
     clusters = components(pairs)
     clusters = clusters.select(F.col("node").alias("set"), F.col("root").alias("cluster")).union(clusters.select("root", "root").distinct())
     kept = sets.filter("n_shingles > 0").groupBy("h1").agg(F.min("id").alias("id"))
