@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import units
-from vellum.operators import assets, audit, digitize, graph, heatmap, markers, ontology, relational, repair, spatial
+from vellum.operators import assets, audit, digitize, graph, heatmap, markers, matching, ontology, relational, repair, spatial
 from vellum.sources import files, sinks
 from vellum.streaming import queues
 
@@ -247,3 +247,18 @@ def test_heatmap(spark):
     assert [(r["x_value"], r["y_value"], r["px"], r["py"]) for r in heatmap.grid(p, "xs", "ys").orderBy("i").collect()] == [(1.0, 10.0, 1, 1), (2.0, 10.0, 3, 1)]
     palette = F.array(*[F.struct(F.array(*map(F.lit, c)).alias("rgb"), F.lit(v).alias("value")) for c, v in (((0, 0, 0), 0.0), ((255, 255, 255), 1.0), ((0, 0, 0), 9.0))])
     assert spark.range(1).select(heatmap.nearest_value(F.array(F.lit(9), F.lit(9), F.lit(9)), palette)).first()[0] == 0.0
+
+
+def test_matching(spark):
+    refs = spark.createDataFrame([("d", "img/A.png"), ("d", "b.png"), ("e", "img/A.png")], "doc string, image string")
+    blocks = spark.createDataFrame([("d", "p1", "x/img/a.png", 1), ("d", "p0", "x/img/A.png", 2), ("d", "p2", "other/img/A.png", 0), ("d", "p3", "c.png", 3)], "doc string, block_id string, image_path string, global_order int")
+    assert {(r["image"], r["block_id"]) for r in matching.refs_to_blocks(refs, blocks).collect()} == {("img/A.png", "p2")}
+    results = spark.createDataFrame([("p", "a", "z/1.png"), ("p", "b", "z/2.png"), ("p", "c", "no")], "paper_id string, panel_id string, image_ref string")
+    own = spark.createDataFrame([("p", 7, "a", "q/9.png"), ("p", 8, None, "q/2.PNG")], "paper_id string, asset_id int, panel_id string, path string")
+    assert {(r["panel_id"], r["asset_id"]) for r in matching.results_to_assets(results, own).collect()} == {("a", 7), ("b", 8), ("c", None)}
+    named = spark.createDataFrame([(1, ["x/1.png", "2.png"])], "asset_id int, names array<string>")
+    t = lambda *rows: spark.createDataFrame(list(rows), "source_image string, row_id int")
+    assert tuple(matching.assets_to_rows(named, {"facts": t(("k/2.png", 5), ("2.png", 4)), "observations": t(("1.png", 1))}).first()) == (1, "facts", 4)
+    titles = spark.createDataFrame([("A study of gels.pdf",), ("Nothing",)], "title string")
+    names = spark.createDataFrame([("study of gels", 1), ("Study", 9), ("study of gels!", 2)], "name string, quality int")
+    assert [tuple(r) for r in matching.contained_titles(titles, names).collect()] == [("A study of gels.pdf", "study of gels!", 2, 13)]
