@@ -284,3 +284,23 @@ def test_captions(spark):
     assert [x["candidate"] for x in captions.best_captions(c, ["panel"]).collect()] == ["a growth before and after 5 %"]
     m = spark.range(1).select(captions.merge_captions(F.lit("a b c"), F.lit("b  c")).alias("x"), captions.merge_captions(F.lit("a"), F.lit("b")).alias("y")).first()
     assert tuple(m) == ("a b c", "a b")
+
+
+def test_running_summary(spark):
+    lines = ['{"event":"chart_facts_extracted","fact_count":3,"panel_id":"a"}', '{"event":"chart_facts_extracted","fact_count":2,"panel_id":"b"}', "broken", '{"phase_name":"x_failed","message":"m1"}', '{"event":"metric_candidates_created","candidate_count":4}', '{"exception_type":"E","message":"m2","event":"chart_digitization_completed"}']
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "run_id int, pos int, line string").select("run_id", "pos", F.try_parse_json("line").alias("event"))
+    r = audit.running_summary(df).first()
+    assert tuple(r)[1:] == (6, 2, 3, 4, 0, 0, 1, 2, "m1", "chart_digitization_completed")
+    out = audit.with_progress(spark.createDataFrame([(3, 2), (0, 0), (2, 5)], "t int, d int"), F.col("t"), F.col("d"))
+    assert [x["progress_percent"] for x in out.collect()] == [66, 0, 100]
+    states = spark.createDataFrame([(1, 0, 0, 0, 9), (0, 1, 0, 0, 9), (0, 0, 0, 0, 9), (0, 0, 0, 0, 0)], "m int, f int, o int, g int, e int").select(audit.result_state(*map(F.col, "mfoge")).alias("s"))
+    assert [x["s"] for x in states.collect()] == ["benchmark_metrics_ready", "chart_facts_ready", "pipeline_errors", "semantic_only"]
+
+
+def test_job_commands(spark, tmp_path):
+    s = 1_000_000
+    rows = [(1, 0, 0, "claim", "w1", 0), (1, 1, 10 * s, "claim", "w2", 0), (1, 2, 20 * s, "renew", "w1", 1), (1, 3, 2000 * s, "claim", "w2", 0), (1, 4, 2001 * s, "complete", "w1", 1), (1, 5, 2002 * s, "fail", "w2", 2), (1, 6, 2003 * s, "retry", "", 0), (1, 7, 2004 * s, "claim", "w3", 0), (1, 8, 2005 * s, "complete", "w3", 3), (2, 9, 0, "complete", "w", 0)]
+    spark.createDataFrame(rows, queues.COMMANDS).write.parquet(f"file://{tmp_path}/in")
+    got = queues.finished(queues.job_commands(spark.readStream.schema(queues.COMMANDS).parquet(f"file://{tmp_path}/in")))
+    want = [(True, "processing", 1), (False, "processing", 1), (True, "processing", 1), (True, "processing", 2), (False, "processing", 2), (True, "failed", 2), (True, "pending", 2), (True, "processing", 3), (True, "succeeded", 3), (False, "pending", 0)]
+    assert [(r["ok"], r["status"], r["generation"]) for r in got.orderBy("seq").collect()] == want

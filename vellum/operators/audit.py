@@ -47,13 +47,41 @@ def string_matrix(df: DataFrame, headers: dict[str, list[str]], order: list[str]
     return df.orderBy(*order).limit(cap).select(*cells), df.count()
 
 
-def progress(events: DataFrame, run: str = "run_id", pos: str = "pos") -> DataFrame:
-    """Per run: panels seen, largest fact count, candidates, errors, the first error and the last event."""
-    failed = F.col("event").endswith("failed")
-    return events.groupBy(run).agg(
-        F.count_distinct("panel_id").alias("n_panels"), F.max("fact_count").alias("facts"), F.coalesce(F.sum("candidates"), F.lit(0)).alias("candidates"),
-        F.count_if(failed).alias("n_errors"), F.min_by("message", F.when(failed, F.col(pos))).alias("first_error"), F.max_by("event", pos).alias("last_event"),
-    )
+def running_summary(events: DataFrame, run: str = "run_id", pos: str = "pos") -> DataFrame:
+    """Per run, from VARIANT events in order: panels seen, counts by kind, errors, the first message of one, the last event.
+
+    Broken lines come as null events: they count as events and nothing else.
+    """
+    get = lambda p, t="string": F.try_variant_get("event", p, t)
+    name = F.coalesce(F.nullif(get("$.event"), F.lit("")), F.nullif(get("$.phase_name"), F.lit("")))
+    e = events.withColumns({"__name": name, "__panel": F.nullif(get("$.panel_id"), F.lit("")), "__message": get("$.message")})
+    failed = F.coalesce(F.nullif(get("$.exception_type"), F.lit("")).isNotNull() | F.col("__name").contains("failed"), F.lit(False))
+    of = lambda kind: F.col("__name") == kind
+    number = lambda p: F.coalesce(get(p, "bigint"), F.lit(0))
+    total = lambda kind, p: F.coalesce(F.sum(F.when(of(kind), number(p))), F.lit(0))
+    return e.groupBy(run).agg(
+        F.count("*").alias("n_events"),
+        F.count_distinct("__panel").alias("processed_panels"),
+        F.coalesce(F.max(F.when(of("chart_facts_extracted"), number("$.fact_count"))), F.lit(0)).alias("chart_facts"),
+        total("metric_candidates_created", "$.candidate_count").alias("metric_candidates"),
+        F.count_if(of("benchmark_metrics_accepted")).alias("benchmark_metrics"),
+        total("image_observation_completed", "$.observation_count").alias("image_observations"),
+        F.count_if(of("chart_digitization_completed")).alias("digitization_results"),
+        F.count_if(failed).alias("errors"),
+        F.min_by("__message", F.when(failed & F.col("__message").isNotNull(), F.col(pos))).alias("first_error"),
+        F.max_by("__name", F.when(F.col("__name").isNotNull(), F.col(pos))).alias("last_event"),
+    )
+
+
+def with_progress(runs: DataFrame, total: Column, done: Column) -> DataFrame:
+    """progress_percent: whole percent of the panels done, 100 at most, 0 without panels."""
+    return runs.withColumn("progress_percent", F.when(total > 0, F.least(F.lit(100), F.floor(done * 100 / total))).otherwise(0).cast("int"))
+
+
+def result_state(metrics: Column, facts: Column, observations: Column, digitized: Column, errors: Column) -> Column:
+    """pipeline_errors if there is nothing but errors, else by what there is."""
+    nothing = (metrics == 0) & (facts == 0) & (observations == 0) & (digitized == 0)
+    return F.when((errors > 0) & nothing, "pipeline_errors").when(metrics > 0, "benchmark_metrics_ready").when(facts > 0, "chart_facts_ready").otherwise("semantic_only")
 
 
 def quality_score(metrics: Column, facts: Column, observations: Column) -> Column:

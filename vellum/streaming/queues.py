@@ -86,6 +86,43 @@ def lease(events: DataFrame, seconds: int = 900, claim: str = "view", done: str
     return e.groupBy("user_id").applyInPandasWithState(run, LEASE_OUT, "until bigint, generation bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+COMMANDS = "job_id bigint, seq bigint, us bigint, op string, worker string, generation bigint"
+COMMAND_OUT = "job_id bigint, seq bigint, op string, ok boolean, status string, generation bigint"
+
+
+def job_commands(commands: DataFrame, seconds: int = 900) -> DataFrame:
+    """claim, renew, complete, fail and retry commands on jobs, fenced by owner and generation.
+
+    A claim needs a pending job, or one whose lease ran out; it raises the generation. Renewals and
+    terminal writes need the claim's worker and generation. retry reopens a failed job. What a stale
+    worker sends changes nothing.
+    """
+
+    def run(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, owner, generation, until = state.get if state.exists else ("pending", "", 0, -1)
+        out = []
+        for c in pd.concat(list(rows)).sort_values(["us", "seq"]).itertuples():
+            owns = status == "processing" and owner == c.worker and generation == c.generation
+            if c.op == "claim":
+                ok = status == "pending" or (status == "processing" and until <= c.us)
+                if ok:
+                    status, owner, generation, until = "processing", c.worker, generation + 1, c.us + seconds * 1_000_000
+            elif c.op == "renew":
+                ok = owns
+                until = c.us + seconds * 1_000_000 if ok else until
+            elif c.op in ("complete", "fail"):
+                ok = owns
+                status = {"complete": "succeeded", "fail": "failed"}[c.op] if ok else status
+            else:
+                ok = c.op == "retry" and status == "failed"
+                status = "pending" if ok else status
+            out.append((key[0], c.seq, c.op, ok, status, generation))
+        state.update((status, owner, generation, until))
+        yield pd.DataFrame(out, columns=["job_id", "seq", "op", "ok", "status", "generation"])
+
+    return commands.groupBy("job_id").applyInPandasWithState(run, COMMAND_OUT, "status string, owner string, generation bigint, until bigint", "append", GroupStateTimeout.NoTimeout)
+
+
 def progress(events: DataFrame) -> DataFrame:
     """Running counts per user."""
     return events.groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("max_value"))
