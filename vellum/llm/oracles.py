@@ -117,14 +117,54 @@ FROM documents d JOIN n USING (doc_id), unnest(range(1, n_copies + 1)) AS t(copy
 """
 
 SHARDING = """
-WITH s AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, text FROM documents),
-o AS (SELECT doc_id, size, sum(size) OVER (ORDER BY doc_id) - size AS start, sum(size) OVER () AS total FROM s),
-h AS (SELECT doc_id, size::BIGINT AS size, ((start::HUGEINT * 24) // total)::INTEGER AS shard FROM o)
-SELECT doc_id, size, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM h
+WITH RECURSIVE bits AS (
+  SELECT n, 0 AS k, n::BIGINT AS c FROM range(256) t(n)
+  UNION ALL
+  SELECT n, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+), crc AS MATERIALIZED (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+s AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents),
+x AS (
+  SELECT doc_id, size, list_reduce(list_prepend(4294967295::BIGINT, list_transform(bytes, lambda p: ('0x' || p)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])) AS c
+  FROM s, crc
+), o AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS start, sum(size) OVER () AS total FROM x),
+h AS (SELECT doc_id, size::BIGINT AS size, xor(c, 4294967295)::BIGINT AS text_crc32, ((start::HUGEINT * 24) // total)::INTEGER AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM h
+"""
+
+NGRAMS = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), p AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+g AS (
+  SELECT doc_id, n, i, word || chr(32) || lead(word) OVER o || chr(32) || lead(word, 2) OVER o || chr(32) || lead(word, 3) OVER o || chr(32) || lead(word, 4) OVER o AS s FROM p
+  WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), sh AS (
+  SELECT DISTINCT doc_id, s FROM g WHERE s IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, b AS other FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
+m AS (SELECT doc_id, min(other) AS m FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.m, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+EMBEDDINGS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT a AS vec_id, b AS other FROM l UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.other = l.a),
+m AS (SELECT vec_id, min(other) AS m FROM r GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a),
+c AS (SELECT v.vec_id, coalesce(n.n, 0) AS n_links, least(v.vec_id, coalesce(m.m, v.vec_id)) AS component_id FROM v LEFT JOIN n USING (vec_id) LEFT JOIN m USING (vec_id))
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM c
 """
 
 SQL = {
     "op2_line_dedup": LINE_DEDUP,
     "op3_quality_rules": _quality(),
     "op4_mixing": MIXING,
+    "op6_sharding": SHARDING,
+    "op7_ngram_join": NGRAMS,
+    "op8_embedding_dedup": EMBEDDINGS,
 }
