@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,9 +21,9 @@ from vellum.llm.ngram_join import mixed, shingles
 
 #: The fit takes at most so many labelled documents of each kind, of at most so many code points each.
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 3000, 6000, 50_000
-#: A word marks toxic text if so many groups of near copies of toxic texts have it, at so many times the clean
-#: rate, and if fewer than CHANCE words of the vocabulary would do so by chance.
-MIN_GROUPS, MIN_RATIO, CHANCE, MAX_WORDS = 4, 8.0, 0.001, 5000
+#: A word marks toxic text if so many groups of near copies of toxic texts have it (and so many neighbours), at so many times the clean
+#: rate, and if fewer than CHANCE marks of all would do so by chance.
+MIN_GROUPS, MIN_RATIO, CHANCE, MAX_WORDS, BUCKETS = 4, 8.0, 0.05, 5000, 1 << 24
 #: Sequences and words of them for the field's weights; steps of the fit.
 FIT_SEQUENCES, FIT_WORDS, STEPS, RATE = 240, 500, 80, 0.2
 #: Words with the highest marginals that make the document's score.
@@ -133,32 +134,66 @@ def _groups(texts: list[str]) -> list[int]:
     return [root(i) for i in range(len(texts))]
 
 
+def _bucket(mark: str) -> int:
+    return zlib.crc32(mark.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def marking(split: list[tuple[list[str], int]], groups: list[int]) -> dict[str, float]:
+    """Log ratio of the marks that groups of toxic texts have more often than clean ones, beyond chance.
+
+    A mark's evidence is the lesser of the groups and the different neighbours that it has in toxic
+    texts: a passage that many of them share marks nothing. Marks are first counted by 2**24 buckets, and
+    only those of frequent buckets by themselves, so the memory does not follow the vocabulary.
+    """
+    total = [{g for (_, t), g in zip(split, groups, strict=True) if t == k} for k in (0, 1)]
+    if not all(total):
+        return {}
+    count, last = np.zeros(BUCKETS, np.uint16), np.full(BUCKETS, -1, np.int32)
+    toxic = sorted((g, i) for i, g in enumerate(groups) if split[i][1])
+    for g, i in toxic:
+        at = np.unique(np.fromiter((_bucket(m) for w in set(split[i][0]) for m in marks(w)), np.int64))
+        at = at[last[at] != g]
+        last[at] = g
+        count[at] = np.minimum(count[at] + 1, 60_000)
+    often = count >= MIN_GROUPS
+    in_groups: dict[str, set] = defaultdict(set)
+    beside: dict[str, set] = defaultdict(set)
+    spelled: dict[str, set] = defaultdict(set)
+    for g, i in toxic:
+        words = split[i][0]
+        for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+            for m in marks(w):
+                if often[_bucket(m)]:
+                    in_groups[m].add(g)
+                    beside[m].add((before, after))
+                    spelled[m].add(w)
+    evidence = {m: min(len(g), len(beside[m])) for m, g in in_groups.items() if m[-1] != "-" or len(spelled[m]) >= STEM_WORDS}
+    evidence = {m: n for m, n in evidence.items() if n >= MIN_GROUPS}
+    clean: dict[str, set] = defaultdict(set)
+    for (words, t), g in zip(split, groups, strict=True):
+        if not t:
+            for w in set(words):
+                for m in marks(w):
+                    if m in evidence:
+                        clean[m].add(g)
+    share, tests = len(total[1]) / (len(total[0]) + len(total[1])), int((count > 0).sum())
+    out = {}
+    for m, n in evidence.items():
+        c = len(clean.get(m, ()))
+        r = (n / len(total[1])) / ((c + 0.5) / len(total[0]))
+        if r >= MIN_RATIO and _tail(n, n + c, share) * tests < CHANCE:
+            out[m] = float(min(np.log(r), 6.0))
+    return out
+
+
 def fit(rows: list[tuple[str, int]]) -> Field:
     """A field from (text, toxic) rows: the words that mark toxic texts, then weights by gradient ascent.
 
-    A word's label is toxic if its text is and the word marks toxic texts. Words are counted by groups of
-    near copies, so that a passage that many toxic texts share marks nothing. Without texts of both kinds
-    nothing is toxic.
+    A word's label is toxic if its text is and a mark of it is one of marking(). Without texts of both
+    kinds nothing is toxic.
     """
     split = [(WORD.findall(text.lower()), toxic) for text, toxic in rows]
-    seen: dict[str, list[set]] = defaultdict(lambda: [set(), set()])
-    spelled: dict[str, set[str]] = defaultdict(set)
-    total: list[set] = [set(), set()]
-    for (words, toxic), group in zip(split, _groups([text for text, _ in rows]), strict=True):
-        total[toxic].add(group)
-        for w in set(words):
-            for m in marks(w):
-                seen[m][toxic].add(group)
-                if toxic:
-                    spelled[m].add(w)
-    ratio = {}
-    if all(total):
-        share = len(total[1]) / (len(total[0]) + len(total[1]))
-        for w, (clean, bad) in seen.items():
-            if w[-1] == "-" and len(spelled[w]) < STEM_WORDS:
-                continue
-            if len(bad) >= MIN_GROUPS and (r := (len(bad) / len(total[1])) / ((len(clean) + 0.5) / len(total[0]))) >= MIN_RATIO and _tail(len(bad), len(clean) + len(bad), share) * len(seen) < CHANCE:
-                ratio[w] = float(min(np.log(r), 6.0))
+    ratio = marking(split, _groups([text for text, _ in rows]))
     ratio = dict(Counter(ratio).most_common(MAX_WORDS))
     emit, move = np.array([-4.0, 1.0, 0.0, 0.0]), np.zeros((2, 2))
     chosen = [x for x in split if x[0]]
