@@ -156,32 +156,35 @@ def marking(split: list[tuple[list[str], int]], groups: list[int]) -> dict[str,
         last[at] = g
         count[at] = np.minimum(count[at] + 1, 60_000)
     often = count >= MIN_GROUPS
-    in_groups: dict[str, set] = defaultdict(set)
+    order = {1: toxic, 0: sorted((g, i) for i, g in enumerate(groups) if not split[i][1])}
+    seen: dict[str, list[int]] = {}  # mark -> groups and last group, toxic then clean
+    for kind in (1, 0):
+        k = 0 if kind else 2
+        for g, i in order[kind]:
+            for w in set(split[i][0]):
+                for m in marks(w):
+                    if kind and m not in seen and often[_bucket(m)]:
+                        seen[m] = [0, -1, 0, -1]
+                    if (s := seen.get(m)) and s[k + 1] != g:
+                        s[k] += 1
+                        s[k + 1] = g
+    rate = lambda n, c: (n / len(total[1])) / ((c + 0.5) / len(total[0]))
+    likely = {m: s for m, s in seen.items() if s[0] >= MIN_GROUPS and rate(s[0], s[2]) >= MIN_RATIO}
     beside: dict[str, set] = defaultdict(set)
     spelled: dict[str, set] = defaultdict(set)
-    for g, i in toxic:
+    for _, i in toxic:
         words = split[i][0]
         for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
             for m in marks(w):
-                if often[_bucket(m)]:
-                    in_groups[m].add(g)
+                if m in likely:
                     beside[m].add((before, after))
                     spelled[m].add(w)
-    evidence = {m: min(len(g), len(beside[m])) for m, g in in_groups.items() if m[-1] != "-" or len(spelled[m]) >= STEM_WORDS}
-    evidence = {m: n for m, n in evidence.items() if n >= MIN_GROUPS}
-    clean: dict[str, set] = defaultdict(set)
-    for (words, t), g in zip(split, groups, strict=True):
-        if not t:
-            for w in set(words):
-                for m in marks(w):
-                    if m in evidence:
-                        clean[m].add(g)
+    evidence = {m: min(s[0], len(beside[m])) for m, s in likely.items() if m[-1] != "-" or len(spelled[m]) >= STEM_WORDS}
     share, tests = len(total[1]) / (len(total[0]) + len(total[1])), int((count > 0).sum())
     out = {}
     for m, n in evidence.items():
-        c = len(clean.get(m, ()))
-        r = (n / len(total[1])) / ((c + 0.5) / len(total[0]))
-        if r >= MIN_RATIO and _tail(n, n + c, share) * tests < CHANCE:
+        c, r = likely[m][2], rate(n, likely[m][2])
+        if n >= MIN_GROUPS and r >= MIN_RATIO and _tail(n, n + c, share) * tests < CHANCE:
             out[m] = float(min(np.log(r), 6.0))
     return out
 
@@ -192,7 +195,9 @@ def fit(rows: list[tuple[str, int]]) -> Field:
     A word's label is toxic if its text is and a mark of it is one of marking(). Without texts of both
     kinds nothing is toxic.
     """
-    split = [(WORD.findall(text.lower()), toxic) for text, toxic in rows]
+    one: dict[str, str] = {}  # each word is kept once
+    split = [([one.setdefault(w, w) for w in WORD.findall(text.lower())], toxic) for text, toxic in rows]
+    del one
     ratio = marking(split, _groups([text for text, _ in rows]))
     ratio = dict(Counter(ratio).most_common(MAX_WORDS))
     emit, move = np.array([-4.0, 1.0, 0.0, 0.0]), np.zeros((2, 2))
