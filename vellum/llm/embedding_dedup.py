@@ -31,7 +31,7 @@ def fit_rotation(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     mean = x.mean(0)
     bits = min(MAX_BITS, x.shape[1])
-    _, _, v = np.linalg.svd(x - mean, full_matrices=True)
+    _, _, v = np.linalg.svd((x - mean).T @ (x - mean))  # of the dimensions, not of the rows
     w = v[:bits].T
     p = (x - mean) @ w
     r = np.linalg.qr(np.random.default_rng(SEED).normal(size=(bits, bits)))[0]
