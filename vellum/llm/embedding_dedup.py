@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,32 +14,140 @@ from pyspark.sql import functions as F
 from vellum.llm._store import ship, stored
 from vellum.llm.components import components
 
-#: The rotation is fitted on at most so many vectors, and numbers in them, of each of at most so many
+#: Rotations are fitted on at most so many vectors, and numbers in them, of each of at most so many
 #: dimensions (the commonest); those of the least hashes.
 FIT_ROWS, FIT_VALUES, FIT_DIMS = 20_000, 2_000_000, 8
 FIT_STEPS, SEED, MAX_BITS = 30, 7, 64
-#: Codes of candidates differ in so many bits at most, for each 64 bits; reranking decides.
-RADIUS = 14
+#: The search has as many tables as find this share of planted pairs at the threshold, of PLANTED pairs of each kind.
+RECALL, PLANTED = 0.99, 2_000
+#: Beyond so many tables the chunks get shorter; at no bits at all every two vectors meet.
+MAX_TABLES = 64
+#: A vector asks for its own chunk and for those with some of this many bits turned, the nearest to turning.
+WEAK = 3
 #: Parts into which the rows of one node are dealt when they get its result.
 SALTS = 8
 
 
-def fit_rotation(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, matrix) of iterative quantisation: principal directions, turned so that signs lose least.
+class Rotations:
+    """Bits of unit vectors: signs of (vector - mean) @ matrix, one matrix after the other without end.
 
-    Codes are the signs of (unit vector - mean) @ matrix, at most 64 bits.
+    Iterative quantisation: principal directions, turned so that signs lose least, from a new start for
+    each matrix. Without vectors to fit on, turned at random. At most 64 bits a matrix.
     """
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    mean = x.mean(0)
-    bits = min(MAX_BITS, x.shape[1])
-    _, _, v = np.linalg.svd((x - mean).T @ (x - mean))  # of the dimensions, not of the rows
-    w = v[:bits].T
-    p = (x - mean) @ w
-    r = np.linalg.qr(np.random.default_rng(SEED).normal(size=(bits, bits)))[0]
-    for _ in range(FIT_STEPS):
-        u, _, vt = np.linalg.svd(np.sign(p @ r).T @ p)
-        r = (u @ vt).T
-    return mean, w @ r
+
+    def __init__(self, dims: int, x: np.ndarray | None = None):
+        self.bits = min(MAX_BITS, dims)
+        self.mean, self.axes, self.p, self.matrices = np.zeros(dims), None, None, []
+        if x is not None:
+            self.mean = x.mean(0)
+            _, _, v = np.linalg.svd((x - self.mean).T @ (x - self.mean))  # of the dimensions, not of the rows
+            self.axes = v[: self.bits].T
+            self.p = (x - self.mean) @ self.axes
+        self.dims = dims
+
+    def _more(self) -> None:
+        rng = np.random.default_rng([SEED, self.dims, len(self.matrices)])
+        if self.p is None:
+            self.matrices.append(np.linalg.qr(rng.normal(size=(self.dims, self.bits)))[0])
+            return
+        r = np.linalg.qr(rng.normal(size=(self.bits, self.bits)))[0]
+        for _ in range(FIT_STEPS):
+            u, _, vt = np.linalg.svd(np.sign(self.p @ r).T @ self.p)
+            r = (u @ vt).T
+        self.matrices.append(self.axes @ r)
+
+    def columns(self, start: int, end: int) -> np.ndarray:
+        """The matrix of bits start to end."""
+        while len(self.matrices) * self.bits < end:
+            self._more()
+        first = start // self.bits
+        some = np.concatenate(self.matrices[first : -(-end // self.bits)] or [np.zeros((self.dims, 0))], axis=1)
+        return some[:, start - first * self.bits : end - first * self.bits]
+
+
+def packed(signs: np.ndarray) -> np.ndarray:
+    code = np.zeros(len(signs), np.uint64)
+    for k in range(signs.shape[1]):
+        code |= signs[:, k].astype(np.uint64) << np.uint64(k)
+    return code
+
+
+def weak(values: np.ndarray) -> np.ndarray:
+    """Places of the bits that are the nearest to turning, for each row of projected values."""
+    return np.argsort(np.abs(values), axis=1, kind="stable")[:, :WEAK].astype(np.uint64)
+
+
+def meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether chunks of projected values differ in weak bits of one side alone, row by row."""
+    differ = packed(a > 0) ^ packed(b > 0)
+    masks = [np.bitwise_or.reduce(np.uint64(1) << weak(v), axis=1, initial=np.uint64(0)) for v in (a, b)]
+    return (differ & ~masks[0] == 0) | (differ & ~masks[1] == 0)
+
+
+def planted(x: np.ndarray, threshold: float, spread: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors at the threshold: rows of `x`, moved in any direction or (`spread`) as two rows differ."""
+    rng = np.random.default_rng(SEED)
+    at, i, j = rng.integers(0, len(x), (3, PLANTED))
+    a, any_way = x[at], rng.normal(size=(PLANTED, x.shape[1]))
+    u = x[i] - x[j] if spread else any_way
+    u = u - (u * a).sum(1, keepdims=True) * a
+    flat = np.linalg.norm(u, axis=1) < 1e-9
+    u[flat] = (any_way - (any_way * a).sum(1, keepdims=True) * a)[flat]
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
+    t = min(1.0, max(-1.0, threshold))
+    b = t * a + math.sqrt(1 - t * t) * u
+    return a, b / np.linalg.norm(b, axis=1, keepdims=True)
+
+
+class Plan(NamedTuple):
+    """Chunks of `width` bits cut one after the other from the bits of `matrix`, a table for each."""
+
+    mean: np.ndarray
+    matrix: np.ndarray
+    width: int
+    tables: int
+    radius: int
+    found: float
+
+    def keys(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(code, a key for each table) of unit vectors; a key is the chunk and, from bit 32, a byte for each weak bit's place."""
+        values = (x - self.mean) @ self.matrix
+        keys = np.zeros((len(x), self.tables), np.uint64)
+        for k in range(self.tables):
+            some = values[:, k * self.width : (k + 1) * self.width]
+            keys[:, k] = packed(some > 0)
+            places = weak(some)
+            for i in range(WEAK):  # no chunk has a bit 63
+                place = places[:, i] if i < places.shape[1] else np.uint64(63)
+                keys[:, k] |= place << np.uint64(32 + 8 * i)
+        return packed(values[:, :MAX_BITS] > 0).view(np.int64), keys.view(np.int64)
+
+
+def plan(rotations: Rotations, x: np.ndarray, n: int, threshold: float) -> Plan:
+    """The search among n nodes that finds RECALL of planted pairs at the threshold, made from unit vectors `x`.
+
+    Chunks have about log2(n) bits, so that the candidates of a vector stay few; fewer if that takes
+    more than MAX_TABLES tables. The radius is the most bits in which codes of planted pairs differ.
+    """
+    pairs = [[v - rotations.mean for v in planted(x, threshold, spread)] for spread in (False, True)]
+    first = rotations.columns(0, MAX_BITS)
+    radius = max(int(np.bitwise_count(packed(a @ first > 0) ^ packed(b @ first > 0)).max()) for a, b in pairs)
+    width = max(8, min(22, math.ceil(math.log2(max(n, 2)))))
+    while True:
+        met = [np.zeros(PLANTED, bool) for _ in pairs]
+        for k in range(MAX_TABLES):
+            m = rotations.columns(k * width, (k + 1) * width)
+            for found, (a, b) in zip(met, pairs, strict=True):
+                found |= meet(a @ m, b @ m)
+            least = min(f.mean() for f in met)
+            if least >= RECALL:
+                return Plan(rotations.mean, rotations.columns(0, max(MAX_BITS, (k + 1) * width)), width, k + 1, radius, float(least))
+        width -= 1
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)  # no overflow in the norm
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def usable(vector: Column) -> Column:
@@ -54,8 +163,13 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _codes(nodes: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """node, label, dims, code: signs packed into 64 bits; vectors of dimensions without a rotation have none."""
+def fitted_plan(vectors: np.ndarray, n: int, threshold: float) -> Plan:
+    x = unit(vectors)
+    return plan(Rotations(x.shape[1], x), x, n, threshold)
+
+
+def _codes(nodes: DataFrame, models: dict[int, Plan]) -> DataFrame:
+    """node, label, dims, radius, code (signs packed into 64 bits) and a key for each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,30 +177,25 @@ def _codes(nodes: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]]) -
             sizes = np.diff(lists.offsets.to_numpy())
             flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
             at = lists.offsets.to_numpy()
-            for dims, (mean, matrix) in models.items():
+            for dims, model in models.items():
                 rows = np.flatnonzero(sizes == dims)
                 if not len(rows):
                     continue
-                x = flat[at[rows][:, None] + np.arange(dims)]
-                big = np.abs(x).max(1, keepdims=True)
-                x = x / big  # no overflow in the norm
-                signs = ((x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ matrix) > 0
-                code = np.zeros(len(rows), np.uint64)
-                for k in range(signs.shape[1]):
-                    code |= signs[:, k].astype(np.uint64) << np.uint64(k)
-                some = pa.array(rows)
-                cols = [batch.column(0).take(some), batch.column(1).take(some), pa.array(np.full(len(rows), dims, np.int32)), pa.array(code.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, names=["node", "label", "dims", "code"])
+                code, keys = model.keys(unit(flat[at[rows][:, None] + np.arange(dims)]))
+                some, same = pa.array(rows), lambda v: pa.array(np.full(len(rows), v, np.int32))  # noqa: B023
+                lists_of = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * model.tables), pa.array(keys.ravel()))
+                cols = [batch.column(0).take(some), batch.column(1).take(some), same(dims), same(model.radius), pa.array(code), lists_of]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "label", "dims", "radius", "code", "keys"])
 
-    return nodes.select("node", "label", "vector").mapInArrow(run, "node bigint, label int, dims int, code bigint")
+    return nodes.select("node", "label", "vector").mapInArrow(run, "node bigint, label int, dims int, radius int, code bigint, keys array<bigint>")
 
 
 def embedding_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame]:
     """(nodes, links): nodes are different (label, vector) pairs with their members; links are (a, b, cosine), a < b.
 
-    The codes are cut into chunks of about log2(nodes) bits. Two nodes meet if they agree in a chunk but
-    for one bit; their codes are compared, then the vectors' cosine. Larger inputs get longer chunks, so
-    the candidates of a vector stay few.
+    The bits of the codes are cut into chunks, a table for each. Two nodes meet if they agree in a chunk
+    but for weak bits of one of them; their codes are compared, then the vectors' cosine. `plan` chooses
+    the tables on planted pairs, so recall does not depend on the number of rows.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -97,18 +206,20 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     models = {}
     for d in dims:
         some = nodes.filter(F.size("vector") == d["dims"]).orderBy(F.xxhash64("node")).limit(min(FIT_ROWS, max(1, FIT_VALUES // d["dims"]))).select("vector").collect()
-        models[d["dims"]] = fit_rotation(np.array([r[0] for r in some]))
-    n = sum(d["n"] for d in dims)
-    width = max(8, min(22, math.ceil(math.log2(max(n, 2)))))
-    chunks = -(-MAX_BITS // width)
+        models[d["dims"]] = fitted_plan(np.array([r[0] for r in some]), d["n"], threshold)
     codes = stored(_codes(nodes, models), "codes")
-    cut = lambda k: F.shiftrightunsigned("code", k * width).bitwiseAND(F.lit((1 << min(width, MAX_BITS - k * width)) - 1))
-    table = codes.select("label", "dims", "node", "code", F.posexplode(F.array(*[cut(k) for k in range(chunks)])).alias("k", "chunk"))
-    near = F.concat(F.array(F.col("chunk")), F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.col("chunk").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))))
-    asked = table.withColumn("chunk", F.explode(near)).select("label", "dims", "k", "chunk", F.col("node").alias("a"), F.col("code").alias("code_a"))
-    met = asked.join(table.withColumnsRenamed({"node": "b", "code": "code_b"}), ["label", "dims", "k", "chunk"]).filter(
-        (F.col("a") < F.col("b")) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= RADIUS)
-    )
+    table = codes.select("label", "dims", "radius", "node", "code", F.posexplode("keys").alias("k", "key"))
+    chunk = F.col("key").bitwiseAND(F.lit((1 << 32) - 1))
+    asked = [chunk]
+    for i in range(WEAK):
+        place = F.shiftrightunsigned("key", 32 + 8 * i).bitwiseAND(F.lit(255)).cast("int")
+        turned = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+        asked += [x.bitwiseXOR(turned) for x in asked]
+    asking = table.select("label", "dims", "k", F.explode(F.array(*asked)).alias("chunk"), F.col("node").alias("x"), F.col("code").alias("code_x"), "radius")
+    asked_for = table.select("label", "dims", "k", chunk.alias("chunk"), F.col("node").alias("y"), F.col("code").alias("code_y"))
+    met = asking.join(asked_for, ["label", "dims", "k", "chunk"]).filter(
+        (F.col("x") != F.col("y")) & (F.bit_count(F.col("code_x").bitwiseXOR(F.col("code_y"))) <= F.col("radius"))
+    ).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     pairs = met.select("a", "b").distinct()
     v = nodes.select("node", "vector")
     ranked = pairs.join(v.withColumnsRenamed({"node": "a", "vector": "va"}), "a").join(v.withColumnsRenamed({"node": "b", "vector": "vb"}), "b")
@@ -120,7 +231,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     """Per row: id, n_links (other vectors linked directly), component_id (least id reachable), kept (it is its own).
 
     Vectors link when their labels are equal and their cosine is `threshold` or more. No link below it
-    is made; a link can be missed if the codes differ too much (recall over 0.9, see the tests).
+    is made; a link can be missed: the search finds RECALL of pairs planted at the threshold (see `plan`).
 
     Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with
     nothing. Equal vectors of a label are one node of the search, however many they are; they link with
