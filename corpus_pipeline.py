@@ -9,7 +9,7 @@ from vellum.llm._store import stored
 from vellum.llm.bpe import bpe
 from vellum.llm.line_dedup import line_dedup
 from vellum.llm.mixing import mix
-from vellum.llm.ngram_join import ngram_components
+from vellum.llm.ngram_join import first_rows, ngram_rows, row_key
 from vellum.llm.quality_rules import quality_rules
 from vellum.llm.queries import vocabulary
 
@@ -25,9 +25,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id; documents without words all stay."""
-    first = ngram_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    """Of each group of near copies one row; rows without words all stay.
+
+    It is the row of the least id, null ids last; of several texts of that id that of the least hash, and of
+    rows that repeat both the least by its columns.
+    """
+    rows = ngram_rows(docs)
+    first = first_rows(rows.filter("root IS NOT NULL"), "root").select("key", "copies")
+    bare = rows.filter("root IS NULL").select("key", F.lit(1).cast("bigint").alias("copies")).distinct()
+    keep = stored(first.union(bare), "first")
+    joined = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text"))).join(keep.withColumnRenamed("key", "__key"), "__key")
+    out = joined.filter("copies = 1").select(*docs.columns)
+    if keep.filter("copies > 1").isEmpty():
+        return out
+    least = joined.filter("copies > 1").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("r"))
+    return out.union(least.select("r.*"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 
 import corpus_pipeline
 from vellum.llm import oracles
+from vellum.llm.ngram_join import ngram_components
 from vellum.llm.queries import vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -96,6 +97,29 @@ def test_stages(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = lambda i: " ".join(words[:i] + ["changed"] + words[i + 1 :])
+    other, third = " ".join(words[::-1]), " ".join(f"v{i}" for i in range(30))
+    rows = [(None, near(0)), (None, near(59)), (None, other), (None, other), (None, None), (None, ""), (5, " "), (5, " ")]
+    rows += [(1, third), (1, third), (1, third + " more"), (2, third), (None, third), (3, "alone one two three four five"), (3, "alone six seven eight nine ten")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t or "")) for k, (i, t) in enumerate(rows)], schema)
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert [got.pop(x, 0) for x in [(None, near(0)), (None, near(59))]] in ([0, 1], [1, 0])
+    assert [got.pop(x, 0) for x in [(1, third), (1, third + " more")]] in ([0, 1], [1, 0])
+    assert got == Counter([(None, other), (None, None), (None, ""), (5, " "), (5, " "), rows[-2], rows[-1]])
+
+
+def test_near_copies_of_null_ids_link(spark):
+    words = [f"w{i}" for i in range(60)]
+    begin, end = " ".join([*"pqrstu", *words[6:]]), " ".join([*words[:54], *"abcdef"])
+    # 7 and 8 share 44 of 68 shingles; each shares 50 of 62 with the text whose rows have no id
+    docs = spark.createDataFrame([(None, " ".join(words)), (None, " ".join(words)), (7, begin), (8, end), (9, "x y")], "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["component_id"]) for r in ngram_components(docs).collect())
+    assert got == Counter([(None, 7), (None, 7), (7, 7), (8, 7), (9, 9)])
+
+
 @pytest.mark.parametrize("folder", ["vellum/llm", "corpus_pipeline.py"])
 def test_entry_without(folder, tmp_path):
     import shutil

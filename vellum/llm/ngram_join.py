@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm._store import partitions, ship, stored
@@ -198,10 +198,15 @@ def links(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         (group if mine else rest).add(rank, tokens)
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """64 bits of hash of a row's id (null is an id of its own) and text."""
+    return F.xxhash64(id_.isNull(), id_, F.coalesce(text, F.lit("")))
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Blocks of (id, text) rows with their shingles."""
+    """Blocks of (id, key, text) rows with their shingles."""
     for batch in batches:
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(2).to_pylist()
         for a, b in blocks(texts):
             yield batch.slice(a, b - a), *shingles(texts[a:b])
 
@@ -222,16 +227,16 @@ def _tokens(owner: np.ndarray, got: np.ndarray, n_buckets: int) -> tuple[np.ndar
 
 
 def shingle_sets(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """(id, text) -> id, n_shingles, n_tokens, h1, h2: the size of each document's set and 128 bits of hash of it."""
+    """(id, key, text) -> id, key, n_shingles, n_tokens, h1, h2: the size of each document's set and 128 bits of hash of it."""
 
     def run(batches):
         for block, owner, got in _batches(batches):
             n, h1, h2 = _digests(owner, got, block.num_rows)
             size = np.bincount(_tokens(owner, got, n_buckets)[0], minlength=block.num_rows)
-            cols = [block.column(0), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(h1), pa.array(h2)]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "n_shingles", "n_tokens", "h1", "h2"])
+            cols = [block.column(0), block.column(1), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(h1), pa.array(h2)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "n_shingles", "n_tokens", "h1", "h2"])
 
-    return docs.mapInArrow(run, "id bigint, n_shingles bigint, n_tokens bigint, h1 bigint, h2 bigint")
+    return docs.mapInArrow(run, "id bigint, key bigint, n_shingles bigint, n_tokens bigint, h1 bigint, h2 bigint")
 
 
 def _postings(docs: DataFrame, n_buckets: int) -> DataFrame:
@@ -340,16 +345,45 @@ def _searched(table: pa.Table) -> pa.Table:
 
 
 def _cells(docs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(cluster, i, j, set, text): one document of each set in every pair of blocks that its block is in."""
+    """(cluster, i, j, set, text): one row of each set in every pair of blocks that its block is in."""
     members = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"))
     placed = clusters.join(members, "cluster").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     placed = stored(placed, "placed")
     placed = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
-    rows = docs.join(placed, "id").select("cluster", "set", "text", "block", "blocks")
+    joined = docs.select("key", "text").join(placed, "key")
+    rows = joined.filter("copies = 1").select("cluster", "set", "text", "block", "blocks")
+    if not placed.filter("copies > 1").isEmpty():  # rows that repeat an id and text: one of them
+        rows = rows.union(joined.filter("copies > 1").groupBy("cluster", "set", "block", "blocks").agg(F.min("text").alias("text")).select(rows.columns))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
     return rows.select("cluster", "set", "text", "block", other).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "set", "text")
 
 
+def first_rows(rows: DataFrame, by: str) -> DataFrame:
+    """by, id, key, copies: of each `by` the row of the least id (null is the last), then key; how many rows are like it."""
+    alike = rows.groupBy(by, "id", "key").agg(F.count(F.lit(1)).alias("copies"))
+    least = alike.groupBy(by).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "copies")).alias("r"))
+    return least.select(by, "r.id", "r.key", "r.copies")
+
+
+def ngram_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, key (`row_key`), n_shingles and root, equal for rows that links connect; null without shingles."""
+    spark = docs.sparkSession
+    ship(spark)
+    id_, text = F.col(f"`{id_col}`").cast("bigint"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(id_.alias("id"), row_key(id_, text).alias("key"), text.alias("text"))
+    n_buckets = max(BUCKETS, partitions(spark))
+    sets = stored(shingle_sets(rows, n_buckets), "sets")
+    pairs = _candidates(rows, sets, n_buckets)
+    clusters = components(pairs)
+    clusters = clusters.select(F.col("node").alias("set"), F.col("root").alias("cluster")).union(clusters.select("root", "root").distinct())
+    kept = first_rows(sets.filter("n_shingles > 0"), "h1")
+    cells = _cells(rows, clusters.join(kept, clusters["set"] == kept["h1"]).select("cluster", "set", "key", "copies"))
+    found = cells.groupBy("cluster", "i", "j").applyInArrow(_searched, "set bigint, other bigint")
+    roots = components(stored(found, "links"))
+    named = sets.filter("n_shingles > 0").join(roots.withColumnRenamed("node", "h1"), "h1", "left").select("id", "key", "n_shingles", F.coalesce("root", "h1").alias("root"))
+    return named.union(sets.filter("n_shingles = 0").select("id", "key", "n_shingles", F.lit(None).cast("bigint")))
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles and component_id, the least id that links lead to, itself included.
 
@@ -360,25 +394,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the search, however many they are; rows that repeat an id are documents with that id. A null id is
     no component_id unless no other id is in its component. An empty table gives an empty table. Other columns are not read.
 
-    Plan: one pass tells each document's set (40 bytes). A second one sends every different set's tokens
+    Plan: one pass tells each document's set (48 bytes). A second one sends every different set's tokens
     to the bucket of their hash range, 4 bytes each and 12 for a set, where tokens of one set only are dropped; the
     tokens left order each set's prefix by rareness, and sets that share a token of their prefixes make
     clusters. Only texts of clusters move: a cell (a cluster, or two blocks of a large one) is searched
     with DivideSkip, and pairs that are already connected are not probed.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    n_buckets = max(BUCKETS, partitions(spark))
-    sets = stored(shingle_sets(rows, n_buckets), "sets")
-    pairs = _candidates(rows, sets, n_buckets)
-    clusters = components(pairs)
-    clusters = clusters.select(F.col("node").alias("set"), F.col("root").alias("cluster")).union(clusters.select("root", "root").distinct())
-    kept = sets.filter("n_shingles > 0").groupBy("h1").agg(F.min("id").alias("id"))
-    cells = _cells(rows, clusters.join(kept, clusters["set"] == kept["h1"]).select("cluster", "set", "id"))
-    found = cells.groupBy("cluster", "i", "j").applyInArrow(_searched, "set bigint, other bigint")
-    roots = components(stored(found, "links"))
-    named = sets.filter("n_shingles > 0").join(roots.withColumnRenamed("node", "h1"), "h1", "left").withColumn("root", F.coalesce("root", "h1"))
+    rows = ngram_rows(docs, id_col, text_col)
+    named = rows.filter("root IS NOT NULL")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     out = named.join(least, "root").select("id", "n_shingles", "component_id")
-    return out.union(sets.filter("n_shingles = 0").select("id", "n_shingles", "id")).withColumnRenamed("id", id_col)
+    return out.union(rows.filter("root IS NULL").select("id", "n_shingles", "id")).withColumnRenamed("id", id_col)
