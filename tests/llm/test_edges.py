@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.llm import embedding_dedup as search
-from vellum.llm import ngram_join, toxicity
+from vellum.llm import ngram_join, secrets, toxicity
 from vellum.llm.bpe import Bpe, bpe
 from vellum.llm.components import components
 from vellum.llm.embedding_dedup import embedding_dedup
@@ -237,6 +237,33 @@ def test_secrets(spark):
     assert got[5] == [("hex", 21, 71)]
 
 
+@pytest.mark.parametrize("before, alphabet, n, after", [
+    ("", "letters", 32, ""),
+    ("", "base64", 20, ""),
+    ("/home/user/projects/config/production/", "base62", 24, ""),
+    ("/home/user/projects/config/production/", "base62", 20, ""),
+    ("0123456789abcdef" * 2 + "/", "base62", 24, ""),
+    ("my_production_service_key-", "letters", 40, "/configuration"),
+])
+def test_random_strings_of_any_kind_and_place(before, alphabet, n, after):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    chars = {"letters": letters, "base62": letters + "0123456789", "base64": letters + "0123456789+/"}[alphabet]
+    rng, encoding, hit = np.random.default_rng(n), secrets.vocabulary(RANKS), 0
+    for _ in range(300):
+        key = "".join(chars[i] for i in rng.integers(0, len(chars), n))
+        text = f"see {before}{key}{after} there"
+        spans = secrets.random_spans(text, encoding, secrets.base_spans(text))
+        at = text.index(key)
+        hit += any(a <= at + 1 and b >= at + n - 1 for a, _, b in spans)
+    assert hit >= 0.9 * 300
+
+
+def test_names_and_long_runs_are_no_secrets():
+    encoding = secrets.vocabulary(RANKS)
+    for text in ["to-be-or-not-to-be-it-is", "/home/user/projects/config/production", "get_user_by_identifier_from_database", "internationalization", "-" * 40, "1" * 40, "x/123e4567-e89b-12d3-a456-426614174000/projects/configuration/production/settings", "a" * 300_000]:
+        assert [text[a:b] for a, _, b in secrets.random_spans(text, encoding, [])] == []
+
+
 def test_toxic_spans(spark):
     rng = np.random.default_rng(4)
     some = lambda: " ".join(f"{chr(97 + a)}{chr(97 + b)}w" for a, b in rng.integers(0, 26, (20, 2)))

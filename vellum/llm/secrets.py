@@ -17,13 +17,17 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
-#: A candidate is a run of these characters, of MIN_RUN or more, with a digit, a letter and MIN_KINDS of upper, lower, digit.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: A candidate is MIN_RUN or more of these characters with a letter: a run, or segments of it between / _ - and =.
+MIN_RUN = 20
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
+LETTER, DIGIT, SEGMENT = re.compile("[A-Za-z]"), re.compile("[0-9]"), re.compile(r"[A-Za-z0-9+]+")
+#: Tokens are counted in slices of so many characters, so that long runs take linear time.
+SLICE = 1024
 #: At most so many characters for each token: prose has 3 or more, random letters and digits 1 to 2.
 MAX_CHARS_PER_TOKEN = 2.0
 #: Not secrets: digests by their length (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and UUIDs.
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.IGNORECASE)
-UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.IGNORECASE)
+UUID = re.compile(r"(?<![0-9a-z])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-z])", re.IGNORECASE)
 
 SPANS = T.ArrayType(
     T.StructType([T.StructField("kind", T.StringType(), False), T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False)]), False
@@ -48,21 +52,54 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+def n_tokens(s: str, encoding) -> int:
+    return sum(len(encoding.encode_ordinary(s[i : i + SLICE])) for i in range(0, len(s), SLICE))
+
+
+def dense_spans(s: str, encoding) -> Iterator[tuple[int, int]]:
+    """The run `s` if it is badly compressed as a whole, else its longest rows of segments that are so one by one."""
+
+    def dense(x: str, chars: int, tokens: int) -> bool:
+        return len(x) >= MIN_RUN and chars <= MAX_CHARS_PER_TOKEN * tokens and LETTER.search(x) and not DIGEST.match(x)
+
+    if len(s) < MIN_RUN or not LETTER.search(s):
+        return
+    parts = [(m.start(), m.end(), n_tokens(m[0], encoding)) for m in SEGMENT.finditer(s)]
+    # words of one or two letters between separators are no secret: without a digit, separators do not count
+    counts = (len(s), n_tokens(s, encoding)) if DIGIT.search(s) else (sum(b - a for a, b, _ in parts), sum(n for *_, n in parts))
+    if dense(s, *counts):
+        yield 0, len(s)
+        return
+    rows: list[list[tuple[int, int, int]]] = [[]]
+    for a, b, n in parts:
+        if b - a <= MAX_CHARS_PER_TOKEN * n and not DIGEST.match(s[a:b]):
+            rows[-1].append((a, b, n))
+        else:
+            rows.append([])
+    for row in rows:
+        if row and dense(s[row[0][0] : row[-1][1]], sum(b - a for a, b, _ in row), sum(n for *_, n in row)):
+            yield row[0][0], row[-1][1]
+
+
 def random_spans(text: str, encoding, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
-    """Runs that the vocabulary compresses badly, which are no known digest or identifier and lie in no base span."""
-    found, at, reach, ends = [], 0, -1, sorted((x, y) for x, _, y in taken)
+    """Strings outside base spans that the vocabulary compresses badly and that are no known digest or identifier."""
+    found, at, ends = [], 0, []
+    for x, y in sorted((x, y) for x, _, y in taken):
+        if ends and x <= ends[-1][1]:
+            ends[-1] = (ends[-1][0], max(y, ends[-1][1]))
+        else:
+            ends.append((x, y))
     for m in RUN.finditer(text):
-        s, (a, b) = m[0], m.span()
-        while at < len(ends) and ends[at][0] < b:  # both go forward: linear
-            reach = max(reach, ends[at][1])
+        a, b = m.span()
+        while at < len(ends) and ends[at][1] <= a:  # both go forward: linear
             at += 1
-        digits = sum(map(str.isdigit, s))
-        if not digits or digits == len(s) or sum((any(map(str.isupper, s)), any(map(str.islower, s)))) == 0:
-            continue
-        if a < reach or DIGEST.match(s) or UUID.match(s):
-            continue
-        if len(s) <= MAX_CHARS_PER_TOKEN * len(encoding.encode_ordinary(s)):
-            found.append((a, 3, b))
+        cuts, k = [(u.start(), u.end()) for u in UUID.finditer(text, a, b)], at
+        while k < len(ends) and ends[k][0] < b:
+            cuts.append(ends[k])
+            k += 1
+        for x, y in [*sorted(cuts), (b, b)]:
+            found += [(a + i, 3, a + j) for i, j in dense_spans(text[a : max(a, x)], encoding)]
+            a = max(a, y)
     return found
 
 
@@ -72,6 +109,12 @@ def find_secrets(docs: DataFrame, path: str, text_col: str = "text") -> DataFram
     Offsets are code points, the end exclusive. `path` is a tiktoken rank file at the same place on all
     machines. Base kinds are found by their patterns; random ones by characters for each token.
 
+    A random one is of A-Z a-z 0-9 + / _ = -, outside base spans and UUIDs, of 20 characters or more, with a
+    letter, and no MD5 or SHA digest in hex. It is a whole run of these characters with at most two for
+    each token (without a digit, / _ - and = do not count), or else the longest row of segments between
+    / _ - and = that each have at most two for each token. Nothing else is left out before tokens are counted;
+    random strings that happen to hold many known syllables have more than two and are missed.
+
     Null and empty texts have no spans. Repeated rows are scanned one by one; an empty table gives an
     empty one. A column of `docs` named secrets is replaced. No shuffle; one Arrow batch at a time.
     """
