@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -168,8 +169,18 @@ def fitted_plan(vectors: np.ndarray, n: int, threshold: float) -> Plan:
     return plan(Rotations(x.shape[1], x), x, n, threshold)
 
 
-def _codes(nodes: DataFrame, models: dict[int, Plan]) -> DataFrame:
-    """node, label, dims, radius, code (signs packed into 64 bits) and a key for each table."""
+@lru_cache(64)
+def unfitted_plan(dims: int, n: int, threshold: float) -> Plan:
+    """Without vectors to fit on: a random rotation turns a bit of a pair at the threshold equally often, wherever it lies."""
+    x = np.random.default_rng(SEED).normal(size=(PLANTED, dims))
+    return plan(Rotations(dims), unit(x), n, threshold)
+
+
+def _codes(nodes: DataFrame, models: dict[int, Plan], n_other: int, threshold: float) -> DataFrame:
+    """node, label, dims, radius, code (signs packed into 64 bits) and a key for each table.
+
+    `n_other` nodes have dimensions without a fitted plan.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,10 +188,9 @@ def _codes(nodes: DataFrame, models: dict[int, Plan]) -> DataFrame:
             sizes = np.diff(lists.offsets.to_numpy())
             flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
             at = lists.offsets.to_numpy()
-            for dims, model in models.items():
+            for dims in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == dims)
-                if not len(rows):
-                    continue
+                model = models.get(dims) or unfitted_plan(dims, n_other, threshold)
                 code, keys = model.keys(unit(flat[at[rows][:, None] + np.arange(dims)]))
                 some, same = pa.array(rows), lambda v: pa.array(np.full(len(rows), v, np.int32))  # noqa: B023
                 lists_of = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * model.tables), pa.array(keys.ravel()))
@@ -207,7 +217,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     for d in dims:
         some = nodes.filter(F.size("vector") == d["dims"]).orderBy(F.xxhash64("node")).limit(min(FIT_ROWS, max(1, FIT_VALUES // d["dims"]))).select("vector").collect()
         models[d["dims"]] = fitted_plan(np.array([r[0] for r in some]), d["n"], threshold)
-    codes = stored(_codes(nodes, models), "codes")
+    n_other = nodes.count() - sum(d["n"] for d in dims)
+    codes = stored(_codes(nodes, models, n_other, threshold), "codes")
     table = codes.select("label", "dims", "radius", "node", "code", F.posexplode("keys").alias("k", "key"))
     chunk = F.col("key").bitwiseAND(F.lit((1 << 32) - 1))
     asked = [chunk]
@@ -234,7 +245,8 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     is made; a link can be missed: the search finds RECALL of pairs planted at the threshold (see `plan`).
 
     Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with
-    nothing. Equal vectors of a label are one node of the search, however many they are; they link with
+    nothing. Vectors of any lengths are searched, those beyond the FIT_DIMS commonest with random rotations.
+    Equal vectors of a label are one node of the search, however many they are; they link with
     each other. Rows that repeat an id are vectors of their own with that id. A null id links with
     nothing. An empty table gives an empty one. Other columns are not read.
     """
