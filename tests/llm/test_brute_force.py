@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -118,6 +119,27 @@ def test_op8(spark, sf_dir):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_op8_recall_on_planted_pairs(spark, sf_dir, tmp_path):
+    table = pq.read_table(f"{sf_dir.replace('0.01', '0.1')}/embeddings.parquet").select(["vec_id", "embedding", "label"])
+    x = np.array(table["embedding"].to_pylist(), np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label, rng = np.array(table["label"].to_pylist()), np.random.default_rng(11)
+    at, cosine = rng.choice(len(x), 1500, replace=False), rng.uniform(0.975, 1, 1500)
+    u = rng.normal(size=(1500, x.shape[1]))
+    u -= (u * x[at]).sum(1, keepdims=True) * x[at]
+    mates = cosine[:, None] * x[at] + np.sqrt(1 - cosine**2)[:, None] * u / np.linalg.norm(u, axis=1, keepdims=True)
+    x, label = np.concatenate([x, mates]).astype(np.float32), np.concatenate([label, label[at]])
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array(label, pa.int32())}), tmp_path / "embeddings.parquet")
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    true = (y @ y.T >= 0.98) & (label[:, None] == label[None]) & ~np.eye(len(x), dtype=bool)
+    got = {r["vec_id"]: r["n_links"] for r in q.op8_embedding_dedup(spark, str(tmp_path)).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    print("true links", true.sum() // 2, "found", found.sum() // 2)
+    assert true.sum() >= 2 * 1000
+    assert (found <= true.sum(1)).all()
+    assert found.sum() >= 0.98 * true.sum()
+
+
 def test_op9(spark, sf_dir, docs):
     assign = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     got = {r["doc_id"]: r for r in q.op9_secrets(spark, sf_dir).collect()}
