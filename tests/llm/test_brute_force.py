@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -59,6 +60,31 @@ def test_op5(spark, sf_dir, docs):
         start += len(ids)
 
 
+def all_code_points():
+    """Every code point before and after letters, digits, marks, white space and an apostrophe."""
+    return [f"&{c}a{c}1{c}{c}'{c}s '{c} {c}\n{c}" for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+
+
+def mixed_texts(n):
+    """Random strings of what a split may get wrong."""
+    rnd = random.Random(1)
+    parts = [*"aAsStrevmld'' \t\n 1½٣!?-éßİſK", "\u0301", "\u3000", "中", "한", "ᅡ", "<|endoftext|>", "<|", "'s", "'re", "'ll", "'LL", "Σ", "ΑΣ", "𝐀", "😀", "\0", "\x85", "\x1c", "  ", "\u00a0"]
+    return ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(n)]
+
+
+def test_op5_split():
+    from vellum.llm.pieces import byte_blocks, table, text_bytes
+    from vellum.llm.token_files import Words
+
+    path = q.vocabulary("word_bpe_49k.json")
+    words, texts = Words(path, table(path)), all_code_points() + mixed_texts(20_000)
+    data, rows = text_bytes(pa.array(texts))
+    sizes, ids = zip(*(words.encode(data[rows[a] : rows[b]], rows[a : b + 1] - rows[a]) for a, b in byte_blocks(rows)), strict=True)
+    want = [e.ids for e in words.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert np.concatenate(sizes).tolist() == list(map(len, want))
+    assert np.concatenate(ids).tolist() == [i for x in want for i in x]
+
+
 def test_op6(spark, sf_dir, docs):
     got = {r["doc_id"]: r for r in q.op6_sharding(spark, sf_dir).collect()}
     rows = sorted((d["doc_id"], (d["text"] or "").encode()) for d in docs)

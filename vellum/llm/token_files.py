@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import os
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -17,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm._store import new_path, partitions, ship
-from vellum.llm.bpe import REMEMBERED, blocks
+from vellum.llm.pieces import DIGIT, SPACE, Classifier, Known, Table, byte_blocks, join_endings, numbered, run_starts, table, text_bytes
 
 #: Layout of the files: version 2 pages hold integers as deltas; small row groups and pages, each with
 #: its place and its least and largest id in the file's page indexes, let a reader take few of them.
@@ -29,49 +27,93 @@ LAYOUT = {
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
 }
+#: Words whose ids a worker remembers.
+REMEMBERED = 500_000
 SCHEMA = "part int, doc_id bigint, start_in_part bigint, n_tokens bigint, tokens array<int>"
 
 
 class Words:
     """Ids of texts by the tokenizers library, word by word, with a bounded memory of words.
 
-    The file's normalisation and its split into words are done here, as the file says (canonical
-    composition, lower case by code point, white space dropped); the library encodes each new word.
+    The split into words is done here over bytes, with the library's own classes of code points; the
+    library encodes each new word. Rows with an added token's string, or with code points whose
+    normalisation depends on their neighbours, go to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: Table):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.fixed = {s: np.array([i], np.int32).tobytes() for s, i in added.items()}
-        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")")
-        #: Fixed value: the word pattern of the file.
-        self.word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.known: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        out: list[str] = []
-        for part in self.split.split(text):
-            if part in self.fixed:
-                out.append(part)
-            elif part:
-                out += self.word.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [self.words(t or "") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        known |= self.fixed
-        new = list({w for own in parts for w in own if w not in known})
-        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []
-        known.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(new, got, strict=True))
-        return [np.frombuffer(b"".join(map(known.__getitem__, own)), np.int32) for own in parts]
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        def load() -> Tokenizer:
+            t = Tokenizer.from_file(path)
+            t.no_truncation()
+            t.no_padding()
+            return t
+
+        self.whole, self.each = load(), load()
+        self.each.normalizer = normalizers.Sequence([])
+        self.each.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        suffix = self.whole.model.end_of_word_suffix
+        if not suffix:
+            raise ValueError(f"{path}: ids of words must show where each ends")
+        vocab = self.whole.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+        self.classify, self.known = Classifier(classes), Known(REMEMBERED)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Have the library encode new words, many at a time; the last id of each tells its end."""
+        for i in range(0, len(words), 20_000):
+            some = words[i : i + 20_000]
+            ids = np.array(self.each.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("a word without an end")
+            self.known.add(some, np.diff(np.r_[0, ends]), ids)
+
+    def slow_rows(self, data: np.ndarray, rows: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Rows that the library must encode whole."""
+        at, raw = [other], data.tobytes()
+        for text in self.added:
+            found = raw.find(text)
+            while found >= 0:
+                at.append(np.array([found]))
+                found = raw.find(text, found + 1)
+        return np.unique(np.searchsorted(rows, np.concatenate(at), side="right") - 1)
+
+    def encode(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each row, ids of all rows) of a block of UTF-8 texts; `rows` are their offsets."""
+        c = self.classify(data)
+        slow = self.slow_rows(data, rows, c.other)
+        for r in slow:
+            c.kind[rows[r] : rows[r + 1]] = SPACE
+        begin = run_starts(c.kind, rows)
+        begin |= (c.kind == DIGIT) & c.lead
+        join_endings(begin, c, rows)
+        keep = c.kind != SPACE
+        begin &= keep
+        numbers, words = numbered(c.data[keep], np.flatnonzero(begin[keep]))
+        self.learn(self.known.missing(words))
+        sizes, ids = self.known.ids(words, numbers)
+        n_words = np.searchsorted(np.flatnonzero(begin), rows)
+        at = np.r_[0, np.cumsum(sizes)][n_words]
+        per_row = np.diff(at)
+        if len(slow):
+            got = [np.array(e.ids, np.int32) for e in self.whole.encode_batch_fast([data[rows[r] : rows[r + 1]].tobytes().decode() for r in slow], add_special_tokens=False)]
+            per_row[slow] = [len(x) for x in got]
+            ids = np.insert(ids, np.repeat(at[slow], per_row[slow]), np.concatenate(got))
+        return per_row, ids
+
+
+_coders: dict[str, Words] = {}
+
+
+def coder(path: str, classes: Table) -> Words:
+    """The worker's own encoder, which later tasks of the same process go on to use."""
+    if path not in _coders:
+        _coders[path] = Words(path, classes)
+    return _coders[path]
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -88,16 +130,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id
     ranged = rows.repartitionByRange(partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
+    classes = table(tokenizer)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, before, part = Words(tokenizer), 0, TaskContext.get().partitionId()
-        end = np.array([end_id], np.int32)
+        words, before, part = coder(tokenizer, classes), 0, TaskContext.get().partitionId()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                ids = [np.concatenate([x, end]) for x in coder.encode(texts[a:b])]
-                sizes = np.array([len(x) for x in ids], np.int64)
+            data, rows = text_bytes(batch.column(1))
+            for a, b in byte_blocks(rows):
+                n_ids, ids = words.encode(data[rows[a] : rows[b]], rows[a : b + 1] - rows[a])
+                ids, sizes = np.insert(ids, np.cumsum(n_ids), end_id), n_ids + 1
                 ends = np.cumsum(sizes)
-                tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.concatenate(ids), pa.int32()))
+                tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids, pa.int32()))
                 cols = [pa.array(np.full(b - a, part, np.int32)), batch.column(0).slice(a, b - a), pa.array(before + ends - sizes), pa.array(sizes), tokens]
                 before += int(ends[-1])
                 yield pa.RecordBatch.from_arrays(cols, names=names)
