@@ -7,17 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from vellum.llm._store import ship
+from vellum.llm.pieces import SPACE, Classifier, Known, Table, byte_blocks, gathered, join_endings, numbered, run_starts, table, text_bytes
 
-#: White space as Unicode's White_Space lists it, and the split of texts into pieces.
-WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
-PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-#: Pieces whose ids a worker remembers; code points of text that one round of batches takes.
-REMEMBERED, BLOCK_CHARS = 200_000, 2_000_000
+#: Pieces whose ids a worker remembers; code points of text that one round of batches of other operators takes.
+REMEMBERED, BLOCK_CHARS = 500_000, 2_000_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -29,16 +26,19 @@ def byte_letters() -> dict[str, int]:
 
 
 class Bpe:
-    """Encoder and decoder of one vocabulary file; immutable but for the pieces that it remembers."""
+    """Encoder and decoder of one vocabulary file; immutable but for the pieces that it remembers.
 
-    def __init__(self, path: str):
+    Texts are split over bytes, with the classes of code points that the tokenizers library has.
+    """
+
+    def __init__(self, path: str, classes: Table):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
         if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec["normalizer"] or model["end_of_word_suffix"]:
             raise ValueError(f"{path}: not a byte-level BPE without prefix space and normalizer")
         vocab, letters = model["vocab"], byte_letters()
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.special = {x["content"].encode(): x["id"] for x in spec["added_tokens"]}
         self.base = max([*vocab.values(), *self.special.values()]) + 1
         self.byte_id = np.zeros(256, np.int64)
         for letter, b in letters.items():
@@ -49,21 +49,24 @@ class Bpe:
         order = np.argsort(key, kind="stable")
         self.keys, self.ranks = key[order], order
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
-        self.bytes_of = [b""] * self.base
+        bytes_of = [b""] * self.base
         for token, i in vocab.items():
-            self.bytes_of[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+            bytes_of[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         for token, i in self.special.items():
-            self.bytes_of[i] = token.encode()
-        self.piece = regex.compile(PIECE)
-        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}
-
-    def merge(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of each piece. All pieces take part in each round: every piece merges all places of its lowest-ranked pair."""
-        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        sizes = np.array([len(x) for x in raw], np.int64)
-        sym = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
-        word = np.repeat(np.arange(len(raw)), sizes)
+            bytes_of[i] = token
+        self.size = np.array(list(map(len, bytes_of)), np.int64)
+        self.begin, self.flat = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(bytes_of), np.uint8)
+        self.classify, self.known = Classifier(classes), Known(REMEMBERED)
+
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, ids of all). All pieces take part in each round: every piece merges all places of its lowest-ranked pair."""
+        fixed = [k for k, p in enumerate(pieces) if p in self.special]
+        sizes = np.array(list(map(len, pieces)), np.int64)
+        sym = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
+        word = np.repeat(np.arange(len(pieces)), sizes)
+        if fixed:
+            plain = ~np.isin(word, fixed)
+            sym, word = np.r_[sym[plain], [self.special[pieces[k]] for k in fixed]], np.r_[word[plain], fixed]
         done_sym, done_word = [], []
         while len(sym):
             key = sym[:-1] * self.base + sym[1:]
@@ -88,37 +91,69 @@ class Bpe:
             stay = ~over
             stay[place + 1] = False
             sym, word = sym[stay], word[stay]
-        if not done_sym:
-            return [np.empty(0, np.int32) for _ in raw]
-        sym, word = np.concatenate(done_sym), np.concatenate(done_word)
+        sym, word = np.concatenate([*done_sym, sym[:0]]), np.concatenate([*done_word, word[:0]])
         order = np.argsort(word, kind="stable")
-        return np.split(sym[order].astype(np.int32), np.cumsum(np.bincount(word, minlength=len(raw)))[:-1])
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; null is empty; special tokens' strings become their ids."""
-        parts: list[list[str]] = []
-        fixed = {s: np.array([i], np.int32).tobytes() for s, i in self.special.items()}
-        for text in texts:
-            own: list[str] = []
-            for part in self.split.split(text or "") if self.split else [text or ""]:
-                if part in fixed:
-                    own.append(part)
-                elif part:
-                    own += self.piece.findall(part)
-            parts.append(own)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        known |= fixed
-        new = list({p for own in parts for p in own if p not in known})
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
-            known.update(zip(some, (x.tobytes() for x in self.merge(some)), strict=True))
-        return [np.frombuffer(b"".join(map(known.__getitem__, own)), np.int32) for own in parts]
-
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of the ids, special ones included; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return np.bincount(word, minlength=len(pieces)), sym[order].astype(np.int32)
+
+    def split(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Marks of the bytes where a piece begins: runs of letters, of digits, of marks, each with a space before it, and of white space."""
+        c = self.classify(data)
+        begin = run_starts(c.kind, rows)
+        if not len(data):
+            return begin
+        # the last code point of white space before other text is a piece, or begins one if it is a space
+        after = np.flatnonzero(begin[1:] & (c.kind[:-1] == SPACE) & (c.kind[1:] != SPACE)) + 1
+        after = after[~np.isin(after, rows)]
+        last = after - 1
+        for _ in range(3):
+            last = np.where(c.lead[last], last, last - 1)
+        begin[last] = True
+        begin[after[data[after - 1] == 0x20]] = False
+        join_endings(begin, c, rows)
+        return begin
+
+    def learn(self, pieces: list[bytes]) -> None:
+        for i in range(0, len(pieces), 50_000):
+            some = pieces[i : i + 50_000]
+            self.known.add(some, *self.merge(some))
+
+    def encode(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each row, ids of all rows) of a block of UTF-8 texts; `rows` are their offsets.
+
+        Strings of special tokens become their ids.
+        """
+        begin, raw, fixed = None, None, []
+        for text, i in self.special.items():
+            raw = data.tobytes() if raw is None else raw
+            found = raw.find(text)
+            while found >= 0:
+                if np.searchsorted(rows, found, side="right") == np.searchsorted(rows, found + len(text) - 1, side="right"):
+                    fixed.append((found, len(text), i))
+                found = raw.find(text, found + 1)
+        taken: list[tuple[int, int, int]] = []
+        for at, size, i in sorted(fixed, key=lambda x: (x[0], -x[1])):
+            if not taken or at >= taken[-1][0] + taken[-1][1]:
+                taken.append((at, size, i))
+        edges = np.unique(np.r_[rows, np.array([e for at, size, _ in taken for e in (at, at + size)], np.int64)])
+        begin = self.split(data, edges)
+        for at, size, _ in taken:
+            begin[at] = True
+            begin[at + 1 : at + size] = False
+        starts = np.flatnonzero(begin)
+        numbers, pieces = numbered(data, starts)
+        self.learn(self.known.missing(pieces))
+        sizes, ids = self.known.ids(pieces, numbers)
+        return np.diff(np.r_[0, np.cumsum(sizes)][np.searchsorted(starts, rows)]), ids
+
+    def decode(self, sizes: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """The texts of rows of so many ids each, special ones included; bytes that are no UTF-8 become U+FFFD."""
+        n_bytes, data = gathered(self.flat, self.begin, self.size, ids)
+        ends = np.r_[0, np.cumsum(n_bytes)][np.cumsum(sizes)]
+        rows = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(data)])
+        try:
+            return rows.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode("utf-8", "replace") for x in rows.to_pylist()], pa.string())
 
 
 def blocks(texts: list[str | None], chars: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
@@ -134,6 +169,16 @@ def blocks(texts: list[str | None], chars: int = BLOCK_CHARS) -> Iterator[tuple[
         yield start, len(texts)
 
 
+_coders: dict[str, Bpe] = {}
+
+
+def coder(path: str, classes: Table) -> Bpe:
+    """The worker's own encoder, which later tasks of the same process go on to use."""
+    if path not in _coders:
+        _coders[path] = Bpe(path, classes)
+    return _coders[path]
+
+
 def bpe(docs: DataFrame, path: str, text_col: str = "text", decode: bool = True) -> DataFrame:
     """`docs` with ids (array of int) and, on request, decoded (string) of each whole text.
 
@@ -153,16 +198,17 @@ def bpe(docs: DataFrame, path: str, text_col: str = "text", decode: bool = True)
     fields += [T.StructField("decoded", T.StringType(), False)] if decode else []
     where = base.columns.index(text_col)
 
+    classes = table(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Bpe(path)
+        words = coder(path, classes)
         for batch in batches:
-            texts = batch.column(where).to_pylist()
-            for a, b in blocks(texts):
-                ids = coder.encode(texts[a:b])
-                offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
-                flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-                cols = [*batch.slice(a, b - a).columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))]
-                cols += [pa.array([coder.decode(x) for x in ids], pa.string())] if decode else []
+            data, rows = text_bytes(batch.column(where))
+            for a, b in byte_blocks(rows):
+                sizes, ids = words.encode(data[rows[a] : rows[b]], rows[a : b + 1] - rows[a])
+                offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+                cols = [*batch.slice(a, b - a).columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))]
+                cols += [words.decode(sizes, ids)] if decode else []
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
     return base.mapInArrow(run, T.StructType(fields))
