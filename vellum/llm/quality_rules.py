@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._store import let
+from vellum.llm._store import let, stored
 from vellum.llm.line_dedup import STRIP
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -24,7 +24,7 @@ RULES = {
 #: Start of the fit: share of good texts; chances of the votes -1, 0, 1 on a good text and on a bad one.
 GOOD_SHARE, ON_GOOD, ON_BAD = 0.85, (0.02, 0.08, 0.90), (0.30, 0.20, 0.50)
 #: Bounds of the chance of a vote against: rules seldom fire on good texts, and each tells something of bad ones.
-#: Without them the fit can call one frequent fault "bad" and all others good.
+#: Without them the fit can call one frequent fault "bad" and all others good (figures in the README).
 AGAINST_GOOD, AGAINST_BAD = (0.0001, 0.004), (0.05, 0.9)
 #: The start counts like so many rows, so no chance becomes 0. The share stays within the range.
 ITERATIONS, PRIOR_ROWS, SHARE_RANGE = 30, 10.0, (0.05, 0.95)
@@ -132,36 +132,37 @@ def _fitted(patterns: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ITERATIONS)), start, step)
 
 
-def _measured(docs: DataFrame, text_col: str) -> DataFrame:
-    m = docs.withColumn("__m", measures(F.col(f"`{text_col}`")))
-    code = sum(((v + 1) * 3**j for j, v in enumerate(votes(F.col("__m")))), F.lit(0))
-    return m.withColumn("__code", code.cast("int"))
+def measured(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """row (struct of the columns of `carry`, of all by default), m (`measures`), code (the vote pattern as a number)."""
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("row")
+    m = docs.select(row, measures(F.col(f"`{text_col}`")).alias("m"))
+    code = sum(((v + 1) * 3**j for j, v in enumerate(votes(F.col("m")))), F.lit(0))
+    return m.withColumn("code", code.cast("int"))
 
 
-def _base_failed(of: str = "") -> Column:
-    return (F.col(f"{of}n_words") < MIN_WORDS) | (100 * F.col(f"{of}n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{of}n_words"))
+def _base_failed() -> Column:
+    return (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("m.n_words"))
 
 
-def label_model(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row for each vote pattern in `docs` (3**rules at most): __code, posterior and the fitted parameters.
+def label_model(counts: DataFrame) -> DataFrame:
+    """One row for each vote pattern in `counts` (rows of `measured`; 3**rules patterns at most): code, posterior and the fitted parameters.
 
     Patterns are counted in every task before the shuffle; a row of counts is all that the model is
     fitted on. It counts every document that the base rules let pass: those that they reject would
     otherwise be the class that the fit finds.
     """
-    passed = F.when(_base_failed("__m."), 0.0).otherwise(1.0)
-    seen = _measured(docs, text_col).groupBy("__code").agg(F.sum(passed).alias("n"))
-    vote = lambda j: (F.floor(F.col("__code") / 3**j) % 3 - 1).cast("int")
+    seen = counts.groupBy("code").agg(F.sum(F.when(_base_failed(), 0.0).otherwise(1.0)).alias("n"))
+    vote = lambda j: (F.floor(F.col("code") / 3**j) % 3 - 1).cast("int")
     one = seen.agg(
-        F.array_sort(F.collect_list(F.struct("__code", F.array(*[vote(j) for j in range(len(RULES))]).alias("v"), "n"))).alias("ps")
+        F.array_sort(F.collect_list(F.struct("code", F.array(*[vote(j) for j in range(len(RULES))]).alias("v"), "n"))).alias("ps")
     ).withColumn("fit", _fitted(F.col("ps")))
     return one.select(F.explode("ps").alias("p"), "fit").select(
-        "p.__code", _posterior(F.col("p.v"), F.col("fit")).alias("posterior"), F.col("fit.pi").alias("good_share"), F.col("fit.a").alias("accuracies")
+        "p.code", _posterior(F.col("p.v"), F.col("fit")).alias("posterior"), F.col("fit.pi").alias("good_share"), F.col("fit.a").alias("accuracies")
     )
 
 
-def quality_rules(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """`docs` with the base counts, base_failed, posterior and kept.
+def quality_rules(docs: DataFrame, threshold: float = 0.5, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns of `carry` (all of `docs` by default) with the base counts, base_failed, posterior and kept.
 
     Each rule of RULES votes for a text, against it, or abstains. The model has the share of good texts
     and each rule's accuracies (chances of its votes on good and on bad texts), fitted by
@@ -169,19 +170,18 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5, text_col: str = "text
 
     Null and empty texts have no words: they fail the base rules. Rows that repeat count as often as
     they are there. An empty table gives an empty table. Columns of `docs` with the names of the new
-    ones are replaced.
+    ones are replaced; any other names may be there.
 
-    Plan: two scans without moving any text; between them one shuffle of vote patterns. The patterns
-    joined back are broadcast: their number is bounded by 3**rules (2,187).
+    Plan: one scan counts, and writes the counts beside the carried columns into the shared folder; one
+    shuffle of vote patterns; one scan of what was written. The patterns joined to it are broadcast: their
+    number is bounded by 3**rules (2,187).
     """
     made = (*COUNTS, "base_failed", "posterior", "kept")
-    base = docs.drop(*made)
-    model = label_model(base.select(f"`{text_col}`"), text_col).select("__code", "posterior")
-    return (
-        _measured(base, text_col)
-        .join(F.broadcast(model), "__code")
-        .select(*[f"`{c}`" for c in base.columns], *[F.col(f"__m.{c}").alias(c) for c in COUNTS], "posterior")
-        .withColumn("base_failed", _base_failed())
-        .withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.col("posterior") >= threshold))
-        .select(*[f"`{c}`" for c in base.columns], *made)
+    own = [c for c in (docs.columns if carry is None else carry) if c not in made]
+    counts = stored(measured(docs, text_col, own), "measures")
+    model = F.broadcast(label_model(counts).select("code", "posterior"))
+    failed = _base_failed()
+    kept = F.when(failed, False).otherwise(F.col("posterior") >= threshold)
+    return counts.join(model, "code").select(
+        *[F.col(f"row.`{c}`") for c in own], *[F.col(f"m.{c}").alias(c) for c in COUNTS], failed.alias("base_failed"), "posterior", kept.alias("kept")
     )

@@ -47,7 +47,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     return out.select("doc_id", *COUNTS, "base_failed", "kept")
 
 
