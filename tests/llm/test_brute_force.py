@@ -203,7 +203,37 @@ def test_op10_held_out(spark, sf_dir):
     got = [r for r in q.op10_toxicity(spark, big).collect() if r["held_out"] and label.get(r["doc_id"]) is not None]
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in got)
     hit = sum(r["predicted"] and label[r["doc_id"]] for r in got)
-    # measured: recall 0.91, precision 0.92; about one toxic label in fifteen is on a text without any marking word
-    assert hit >= 0.85 * sum(label[r["doc_id"]] for r in got)
-    assert hit >= 0.85 * sum(r["predicted"] for r in got)
+    # measured: recall 0.93, precision 0.99; one toxic label in twenty is on a text without any marking word
+    assert hit >= 0.90 * sum(label[r["doc_id"]] for r in got)
+    assert hit >= 0.95 * sum(r["predicted"] for r in got)
     assert all(0 <= r["score"] <= 1 and not math.isnan(r["score"]) for r in got)
+
+
+def test_op10_plain():
+    """Scores and spans of a small field by enumeration of all tags, word by word."""
+    from itertools import product
+
+    from vellum.llm import toxicity as t
+
+    rnd, letter = random.Random(5), re.compile(r"[^\W\d_]+")
+    field = t.Field({"vile": 3.0, "rott-": 2.0, "scum": 5.0}, np.array([-2.0, 0.9, 1.1, 0.3, -0.2, 0.4]), np.array([[0.5, -0.4], [-0.3, 0.6]]), np.array([-2.0, 3.0, 0.7, 0.1]))
+    texts = [" ".join(rnd.choice(["a", "Vile", "VILE", "rotten,", "Rottweil", "scum!", "é-ü", "x1y", "ÀB"]) for _ in range(rnd.randint(0, 5))) for _ in range(60)]
+    for text, (score, spans) in zip(texts, t.score_texts(texts, field), strict=True):
+        found = list(letter.finditer(text))
+        if not found:
+            assert (score, spans) == (0.0, [])
+            continue
+        words = [m[0].lower() for m in found]
+        ratio = [(field.words.get(w, 0.0), max([field.words.get(f"{w[:k]}-", 0.0) for k in t.STEMS if k <= len(w)] or [0.0])) for w in words]
+        most = [0.0, *map(max, ratio), 0.0]
+        emit = [np.dot(field.emit, [1, *ratio[i], most[i], most[i + 2], float(most[i + 1] > 0 and len(m[0]) > 1 and m[0][:2].isupper())]) for i, m in enumerate(found)]
+        total, on = 0.0, np.zeros(len(words))
+        for tags in product((0, 1), repeat=len(words)):
+            w = math.exp(sum(e for e, k in zip(emit, tags, strict=True) if k) + sum(field.move[a, b] for a, b in zip(tags, tags[1:], strict=False)))
+            total += w
+            on += w * np.array(tags)
+        m = on / total
+        top = sorted(m)[-3:]
+        z = [1.0, 1 - math.prod(1 - x for x in top), math.log1p(m.sum()), min(5.0, 100 * m.sum() / len(m))]
+        assert math.isclose(score, 1 / (1 + math.exp(-np.dot(field.document, z))), rel_tol=1e-9)
+        assert spans == [x.span() for x, p in zip(found, m, strict=True) if p >= 0.5 and score >= 0.5]

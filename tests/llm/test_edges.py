@@ -50,7 +50,7 @@ OPERATORS = {
     "shards": shard_by_bytes,
     "ngrams": ngram_components,
     "secrets": lambda d: find_secrets(d, RANKS),
-    "toxicity": lambda d: toxicity.toxicity(d, toxicity.Field({"bad": 6.0}, np.array([-4.0, 2.0, 0, 0]), np.zeros((2, 2)))),
+    "toxicity": lambda d: toxicity.toxicity(d, toxicity.Field({"bad": 6.0}, np.array([-4.0, 2.0, 0, 0, 0, 0]), np.zeros((2, 2)))),
 }
 
 
