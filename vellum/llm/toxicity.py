@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from vellum.llm._store import ship
 from vellum.llm.ngram_join import mixed, shingles
-from vellum.llm.pieces import LETTER, SPACE, Classifier, Table, byte_blocks, numbered, run_starts, text_bytes
+from vellum.llm.pieces import LETTER, SPACE, Classifier, Table, byte_blocks, gathered, numbered, run_starts, text_bytes
 
 #: The fit takes at most so many labelled documents of each kind, whole.
 FIT_TOXIC, FIT_CLEAN = 3000, 6000
@@ -99,6 +100,22 @@ def split(data: np.ndarray, rows: np.ndarray) -> Split:
     return Split(numbers, [w.decode("utf-8", "replace") for w in words], starts, ends, np.searchsorted(starts, rows), capital)
 
 
+def split_all(texts: list[str]) -> Split:
+    """`split` of many texts block by block, without places; numbers are of all texts' words together."""
+    number: dict[str, int] = {}
+    numbers, capital, first = [], [], [np.zeros(1, np.int64)]
+    data, rows = text_bytes(pa.array(texts, pa.string()))
+    for a, b in byte_blocks(rows):
+        s = split(data[rows[a] : rows[b]], rows[a : b + 1] - rows[a])
+        own = np.array([number.setdefault(w, len(number)) for w in s.words], np.int32)
+        numbers.append(own[s.numbers])
+        capital.append(s.capital)
+        first.append(s.first[1:] + first[-1][-1])
+    join = lambda xs, kind: np.concatenate([*xs, np.empty(0, kind)])
+    none = np.empty(0, np.int64)
+    return Split(join(numbers, np.int32).astype(np.int32), list(number), none, none, np.concatenate(first), join(capital, bool).astype(bool))
+
+
 class Ratios:
     """Log ratios of words and of their beginnings, for a list of distinct words; remembers some."""
 
@@ -192,7 +209,7 @@ def _groups(texts: list[str]) -> np.ndarray:
         return i
 
     _, rows = text_bytes(pa.array(texts, pa.string()))
-    for a, b in byte_blocks(rows):
+    for a, b in byte_blocks(rows, 500_000):
         owner, got = shingles(texts[a:b])
         at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
         for salt in (11, 12, 13) if len(owner) else ():
@@ -203,17 +220,33 @@ def _groups(texts: list[str]) -> np.ndarray:
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of numbers."""
-    key = np.unique(a.astype(np.int64) << 32 | b.astype(np.int64))
+    key = a.astype(np.int64) << 32
+    key |= b
+    key.sort()
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
     return key >> 32, key & 0xFFFFFFFF
 
 
-def _spread(of: list[np.ndarray], words: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(mark, other) for every mark of each word; `of` has the words' marks."""
-    sizes = np.array([len(x) for x in of], np.int64)
-    begin, n = np.cumsum(sizes) - sizes, sizes[words]
-    flat = np.concatenate([*of, np.empty(0, np.int64)])
-    at = np.repeat(begin[words] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    return flat[at], np.repeat(others, n)
+class _Marks:
+    """Numbers of the marks of some words, flat."""
+
+    def __init__(self, n_words: int):
+        self.begin, self.size, self.flat = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64), array("i")
+
+    def add(self, word: int, numbers: list[int]) -> None:
+        self.begin[word], self.size[word] = len(self.flat), len(numbers)
+        self.flat.extend(numbers)
+
+    def spread(self, words: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(mark, other) for every mark of each word."""
+        n, flat = gathered(np.frombuffer(self.flat, np.int32) if len(self.flat) else np.empty(0, np.int32), self.begin, self.size, words)
+        return flat, np.repeat(others, n)
+
+    def only(self, good: np.ndarray) -> _Marks:
+        out = _Marks(len(self.size))
+        for w in np.flatnonzero(self.size):
+            out.add(w, [i for i in self.flat[self.begin[w] : self.begin[w] + self.size[w]] if good[i]])
+        return out
 
 
 def marking(s: Split, toxic: np.ndarray, groups: np.ndarray) -> dict[str, float]:
@@ -226,29 +259,30 @@ def marking(s: Split, toxic: np.ndarray, groups: np.ndarray) -> dict[str, float]
     if not all(n_groups):
         return {}
     row = s.row
-    pairs = {k: _distinct(s.numbers[(toxic == k)[row]], groups[row[(toxic == k)[row]]]) for k in (0, 1)}
+    at = np.flatnonzero((toxic == 1)[row])
+    pairs = _distinct(s.numbers[at], groups[row[at]])
     number: dict[str, int] = {}
-    of = [np.empty(0, np.int64)] * len(s.words)
-    for w in np.unique(pairs[1][0]):
-        of[w] = np.array([number.setdefault(m, len(number)) for m in marks(s.words[w])], np.int64)
-    in_toxic = np.bincount(_distinct(*_spread(of, *pairs[1]))[0], minlength=len(number))
+    of = _Marks(len(s.words))
+    in_texts = np.unique(pairs[0])
+    for w in in_texts:
+        of.add(w, [number.setdefault(m, len(number)) for m in marks(s.words[w])])
+    in_toxic = np.bincount(_distinct(*of.spread(*pairs))[0], minlength=len(number))
     often = in_toxic >= MIN_GROUPS
     names, heads = list(number), {m[:3] for m, i in number.items() if often[i]}
-    kept = [np.empty(0, np.int64)] * len(s.words)
+    kept = _Marks(len(s.words))
     for w, word in enumerate(s.words):
         if word[:3] in heads:
-            kept[w] = np.array([i for m in marks(word) if (i := number.get(m, -1)) >= 0 and often[i]], np.int64)
-    in_clean = np.bincount(_distinct(*_spread(kept, *pairs[0]))[0], minlength=len(number))
+            kept.add(w, [i for m in marks(word) if (i := number.get(m, -1)) >= 0 and often[i]])
+    clean = np.flatnonzero((toxic == 0)[row] & (kept.size[s.numbers] > 0))
+    in_clean = np.bincount(_distinct(*kept.spread(*_distinct(s.numbers[clean], groups[row[clean]])))[0], minlength=len(number))
     rate = (in_toxic / n_groups[1]) / ((in_clean + 0.5) / n_groups[0])
     likely = often & (rate >= MIN_RATIO)
-    kept = [x[likely[x]] for x in kept]
-    at = np.flatnonzero((toxic == 1)[row])
-    beside = np.stack([np.r_[-1, s.numbers[:-1]], np.r_[s.numbers[1:], -1]], 1)[at] + 1
-    beside[:, 0][np.isin(at, s.first)] = 0
-    beside[:, 1][np.isin(at + 1, s.first)] = 0
-    _, neighbours = np.unique(beside, axis=0, return_inverse=True) if len(at) else (None, np.empty(0, np.int64))
-    near = np.bincount(_distinct(*_spread(kept, s.numbers[at], neighbours.ravel()))[0], minlength=len(number))
-    spelled = np.bincount(_spread(kept, np.unique(pairs[1][0]), np.unique(pairs[1][0]))[0], minlength=len(number))
+    kept = kept.only(likely)
+    at = at[kept.size[s.numbers[at]] > 0]
+    beside = [np.where(np.isin(at, s.first), 0, s.numbers[at - 1] + 1), np.where(np.isin(at + 1, s.first), 0, s.numbers[np.minimum(at + 1, len(s.numbers) - 1)] + 1)]
+    _, neighbours = np.unique(beside[0].astype(np.int64) << 32 | beside[1], return_inverse=True)
+    near = np.bincount(_distinct(*kept.spread(s.numbers[at], neighbours))[0], minlength=len(number))
+    spelled = np.bincount(kept.spread(in_texts, in_texts)[0], minlength=len(number))
     share, out = n_groups[1] / sum(n_groups), {}
     for i in np.flatnonzero(likely):
         m, n, c = names[i], int(min(in_toxic[i], near[i])), int(in_clean[i])
@@ -319,8 +353,8 @@ def fit(rows: list[tuple[str, int]]) -> Field:
     toxic = np.array([t for _, t in rows], np.int64)
     if not rows or len(np.unique(toxic)) < 2:
         return none
-    data, at = text_bytes(pa.array([t for t, _ in rows], pa.string()))
-    s, groups = split(data, at), _groups([t for t, _ in rows])
+    texts = [t for t, _ in rows]
+    s, groups = split_all(texts), _groups(texts)
     words = marking(s, toxic, groups)
     if not words or not (np.diff(s.first) > 0)[toxic == 1].any():
         return none
@@ -340,7 +374,8 @@ def _rows(s: Split, rows: np.ndarray) -> Split:
     """Some rows of a split."""
     n = np.diff(s.first)[rows]
     at = np.repeat(s.first[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    return Split(s.numbers[at], s.words, s.starts[at], s.ends[at], np.r_[0, np.cumsum(n)], s.capital[at])
+    none = np.empty(0, np.int64)
+    return Split(s.numbers[at], s.words, none, none, np.r_[0, np.cumsum(n)], s.capital[at])
 
 
 def marginals(s: Split, rows: np.ndarray, field: Field, ratios: Ratios) -> list[np.ndarray]:
