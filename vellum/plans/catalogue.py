@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import batches, blocks, evidence, layout, ordered, points, relational, streams
+from vellum.plans import batches, blocks, contracts, evidence, layout, nesting, ordered, papers, points, relational, streams
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _m in (blocks, relational, ordered, layout, evidence, points, batches, streams):
+for _m in (blocks, relational, ordered, layout, evidence, points, batches, streams, nesting, contracts, papers):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
