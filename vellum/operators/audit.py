@@ -37,14 +37,15 @@ def panel_images(packets: DataFrame, pos: str = "pos") -> DataFrame:
     return p.groupBy("panel_id").agg(F.max_by(F.element_at(F.split("image_ref", "/"), -1), pos).alias("image"))
 
 
-def string_matrix(df: DataFrame, headers: dict[str, list[str]], order: list[str], cap: int = 500) -> tuple[DataFrame, int]:
-    """(rows, total): one text column for each header, its first present alias; at most `cap` rows, total uncapped."""
+def string_matrix(df: DataFrame, headers: dict[str, list[str]], order: list[str], cap: int = 500) -> DataFrame:
+    """One text column for each header, its first present alias, and total, the number of all rows; at most `cap` rows."""
     have = set(df.columns)
     cells = []
     for name, aliases in headers.items():
         found = [F.col(a).cast("string") for a in [name, *aliases] if a in have]
         cells.append(F.coalesce(*found, F.lit("")).alias(name))
-    return df.orderBy(*order).limit(cap).select(*cells), df.count()
+    total = df.agg(F.count("*").alias("total"))  # one row
+    return df.orderBy(*order).limit(cap).select(*cells).join(F.broadcast(total))
 
 
 def running_summary(events: DataFrame, run: str = "run_id", pos: str = "pos") -> DataFrame:

@@ -113,7 +113,7 @@ def valid_ids(ids: Column, allowed: Column) -> Column:
 def default_ids(evidence: Column) -> Column:
     """The first three ids of an array of struct(evidence_id, use_policy, source_type): extractable visuals, else extractable, else any."""
     named = F.filter(evidence, lambda e: F.coalesce(e["evidence_id"], F.lit("")) != "")
-    usable = F.filter(named, lambda e: e["use_policy"] == "use_for_extraction")
+    usable = F.filter(named, lambda e: e["use_policy"] == "use_for_facts")
     visual = F.filter(usable, lambda e: e["source_type"].isin("chart", "image"))
     best = F.when(F.size(visual) > 0, visual).when(F.size(usable) > 0, usable).otherwise(named)
     return F.slice(F.transform(best, lambda e: e["evidence_id"]), 1, 3)
@@ -122,7 +122,7 @@ def default_ids(evidence: Column) -> Column:
 def evidence_ids(ids: Column, evidence: Column) -> Column:
     """Valid ids and the first three extractable visuals; without visuals the valid ones, else the default."""
     valid = valid_ids(ids, F.transform(evidence, lambda e: e["evidence_id"]))
-    visual = F.slice(F.transform(F.filter(evidence, lambda e: (e["use_policy"] == "use_for_extraction") & e["source_type"].isin("chart", "image")), lambda e: e["evidence_id"]), 1, 3)
+    visual = F.slice(F.transform(F.filter(evidence, lambda e: (e["use_policy"] == "use_for_facts") & e["source_type"].isin("chart", "image")), lambda e: e["evidence_id"]), 1, 3)
     return F.when(F.size(visual) > 0, F.array_distinct(F.concat(valid, visual))).when(F.size(valid) > 0, valid).otherwise(default_ids(evidence))
 
 

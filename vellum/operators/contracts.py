@@ -21,9 +21,9 @@ CONFIDENCES = {"high": 0.9, "very high": 1.0, "medium": 0.6, "moderate": 0.6, "l
 #: Other names of semantic fields, required fields, excerpt lengths and the number of prompt items.
 ALIASES = {
     "panel_relevance": "relevance", "application_task": "task,application", "assay": "assay_class", "metric_category": "metric_type",
-    "extraction_decision": "", "panel_type": "", "confidence": "",
+    "panel_decision": "", "panel_type": "", "confidence": "",
 }
-REQUIRED = ("panel_relevance", "extraction_decision", "application_task", "assay", "metric_category", "panel_type")
+REQUIRED = ("panel_relevance", "panel_decision", "application_task", "assay", "metric_category", "panel_type")
 EXCERPT, PROMPT_EXCERPT, PROMPT_ITEMS, FOCUS = 360, 240, 20, 500
 MISSING_CAP, UNKNOWN = 0.4, 0.5
 
@@ -52,7 +52,7 @@ def evidence_role(relation: Column, policy: Column) -> Column:
 
 def policy_role(relation: Column, policy: Column) -> Column:
     """The role where an item has none: only extractable captions and visuals are primary."""
-    return F.when((policy != "use_for_extraction") & relation.isin("primary_caption", "same_panel_visual") & ~policy.isin("background_only", "do_not_use_for_current_panel"), "supporting").when(
+    return F.when((policy != "use_for_facts") & relation.isin("primary_caption", "same_panel_visual") & ~policy.isin("background_only", "do_not_use_for_current_panel"), "supporting").when(
         policy == "background_only", "background"
     ).when(policy == "do_not_use_for_current_panel", "non_current_panel").otherwise(evidence_role(relation, policy))
 
@@ -85,8 +85,8 @@ def prompt_items(evidence: DataFrame, key: list[str]) -> DataFrame:
 
 
 def by_policy(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(for extraction, for disambiguation)"""
-    use = F.coalesce(F.col("use_policy") == "use_for_extraction", F.lit(False))
+    """(for facts, for disambiguation)"""
+    use = F.coalesce(F.col("use_policy") == "use_for_facts", F.lit(False))
     return items.filter(use), items.filter(~use)
 
 
@@ -94,7 +94,7 @@ def contract_document(items: DataFrame, key: list[str]) -> DataFrame:
     """key, document: JSON with the items in order, their ids by policy, and the number of them."""
     one = F.struct("item", "evidence_id", "bucket", "relation", "use_policy", "role", "text_excerpt")
     g = items.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("items"))
-    ids = lambda use: F.transform(F.filter("items", lambda x: (x["use_policy"] == "use_for_extraction") == F.lit(use)), lambda x: x["evidence_id"])
+    ids = lambda use: F.transform(F.filter("items", lambda x: (x["use_policy"] == "use_for_facts") == F.lit(use)), lambda x: x["evidence_id"])
     doc = F.struct(F.size("items").alias("n_items"), ids(True).alias("extractable"), ids(False).alias("disambiguation"), F.col("items").alias("items"))
     return g.select(*key, F.to_json(doc).alias("document"))
 
@@ -140,12 +140,12 @@ def semantic(payload: Column) -> Column:
     word = F.lower(F.get_json_object(payload, "$.confidence"))
     number = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(word.try_cast("double"), _lookup(CONFIDENCES, word), F.lit(UNKNOWN))))
     relevance = F.when(field("panel_relevance") == "background", "context_only").otherwise(F.coalesce(field("panel_relevance"), F.lit("unusable")))
-    decision = F.coalesce(field("extraction_decision"), F.lit("skip_metric_extraction"))
+    decision = F.coalesce(field("panel_decision"), F.lit("skip_metrics"))
     own_role = F.coalesce(given(F.get_json_object(payload, "$.evidence_role")))
     role = F.coalesce(own_role, F.when(decision == "extract_supporting_observation", "supporting_observation").when(relevance == "unusable", "unusable").otherwise("schematic_context"))
     return F.struct(
         relevance.alias("panel_relevance"),
-        decision.alias("extraction_decision"),
+        decision.alias("panel_decision"),
         role.alias("evidence_role"),
         F.coalesce(field("application_task"), F.lit("")).alias("application_task"),
         F.coalesce(field("metric_category"), F.lit("")).alias("metric_category"),
@@ -164,7 +164,7 @@ def fallback(block_type: Column) -> Column:
     chart = F.coalesce(F.lower(block_type) == "chart", F.lit(False))
     return F.struct(
         F.when(chart, "primary_metric_panel").otherwise("supporting_observation").alias("evidence_role"),
-        F.when(chart, "extract_target_metrics").otherwise("extract_supporting_observation").alias("extraction_decision"),
+        F.when(chart, "extract_target_metrics").otherwise("extract_supporting_observation").alias("panel_decision"),
         chart.alias("needs_digitization"),
         F.coalesce(F.nullif(F.lower(block_type), F.lit("")), F.lit("unknown")).alias("panel_type"),
     )

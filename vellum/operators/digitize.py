@@ -17,9 +17,15 @@ EXACT_SOURCES = ("table_exact", "caption_exact", "text_exact")
 
 
 def decode_json(text: Column) -> Column:
-    """VARIANT of a model's answer: the text itself, else its first fenced block, else null."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json|JSON)?\s*(.*?)\s*```", 1)
-    return F.coalesce(F.try_parse_json(F.trim(text)), F.try_parse_json(F.nullif(fenced, F.lit(""))))
+    """VARIANT of a model's answer: the text itself, else its first fenced block, else from its first to its last brace, else null.
+
+    Control characters within texts, which JSON forbids, count as spaces if nothing else reads the answer.
+    """
+    fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json|JSON)?\s*(.*?)\s*```", 1), F.lit(""))
+    braced = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
+    forms = [F.trim(text), fenced, braced]
+    clean = [F.regexp_replace(f, r"[\x00-\x1f]", " ") for f in forms]
+    return F.coalesce(*[F.try_parse_json(f) for f in [*forms, *clean]])
 
 
 def repair_summary(severities: Column) -> Column:
@@ -46,37 +52,36 @@ def explode_points(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     spark = payloads.sparkSession
     keep = [f"`{c}`" for c in payloads.columns if c != payload]
     cols = ", ".join(keep)
-    payloads.withColumn("__json", decode_json(F.col(payload))).createOrReplaceTempView("vellum_payloads")
+    answers = payloads.withColumn("__json", decode_json(F.col(payload)))
     v = "'variant'"
-    flat = f"SELECT {cols}, 0 AS o, p.pos AS a, 0 AS b, cast(null AS string) AS name, p.value AS point FROM vellum_payloads, LATERAL variant_explode(try_variant_get(__json, '$.data_points', {v})) p"
-    series = f"""SELECT {cols}, 1 AS o, s.pos AS a, p.pos AS b, coalesce(try_variant_get(s.value, '$.series_name', 'string'), try_variant_get(s.value, '$.name', 'string')) AS name, p.value AS point
-        FROM vellum_payloads, LATERAL variant_explode(try_variant_get(__json, '$.series', {v})) s,
+    flat = f"SELECT {cols}, 0 AS o, p.pos AS a, 0 AS b, 0 AS f, cast(null AS string) AS name, p.value AS point FROM {{answers}}, LATERAL variant_explode(try_variant_get(__json, '$.data_points', {v})) p"
+    series = f"""SELECT {cols}, 1 AS o, s.pos AS a, p.pos AS b, 0 AS f, coalesce(try_variant_get(s.value, '$.series_name', 'string'), try_variant_get(s.value, '$.name', 'string')) AS name, p.value AS point
+        FROM {{answers}}, LATERAL variant_explode(try_variant_get(__json, '$.series', {v})) s,
         LATERAL variant_explode(coalesce(try_variant_get(s.value, '$.data_points', {v}), try_variant_get(s.value, '$.points', {v}))) p"""
-    named = f"""SELECT {cols}, 1 AS o, s.pos AS a, n.pos * 100000 + p.pos AS b, n.key AS name, p.value AS point
-        FROM vellum_payloads, LATERAL variant_explode(try_variant_get(__json, '$.series', {v})) s, LATERAL variant_explode(s.value) n,
+    named = f"""SELECT {cols}, 1 AS o, s.pos AS a, n.pos AS b, p.pos AS f, n.key AS name, p.value AS point
+        FROM {{answers}}, LATERAL variant_explode(try_variant_get(__json, '$.series', {v})) s, LATERAL variant_explode(s.value) n,
         LATERAL variant_explode(coalesce(try_variant_get(n.value, '$.data_points', {v}), try_variant_get(n.value, '$.points', {v}))) p
         WHERE n.key NOT IN ('series_name', 'name', 'data_points', 'points') AND try_variant_get(s.value, '$.series_name', 'string') IS NULL AND try_variant_get(s.value, '$.name', 'string') IS NULL"""
-    spark.sql(f"{flat} UNION ALL {series} UNION ALL {named}").createOrReplaceTempView("vellum_points")
+    points = spark.sql(f"{flat} UNION ALL {series} UNION ALL {named}", answers=answers)
     nested = spark.sql(f"""
-        SELECT {cols}, o, a, b, coalesce(n.pos, 0) AS c,
+        SELECT {cols}, o, a, b, f, coalesce(n.pos, 0) AS c,
           coalesce(try_variant_get(n.value, '$.series_name', 'string'), try_variant_get(point, '$.series_name', 'string'), try_variant_get(point, '$.series', 'string'), name) AS name, coalesce(n.value, point) AS point
-        FROM vellum_points, LATERAL variant_explode_outer(coalesce(try_variant_get(point, '$.points', {v}), try_variant_get(point, '$.data_points', {v}))) n
-        WHERE schema_of_variant(coalesce(n.value, point)) LIKE 'OBJECT%'""")
-    nested.createOrReplaceTempView("vellum_nested")
+        FROM {{points}}, LATERAL variant_explode_outer(coalesce(try_variant_get(point, '$.points', {v}), try_variant_get(point, '$.data_points', {v}))) n
+        WHERE schema_of_variant(coalesce(n.value, point)) LIKE 'OBJECT%'""", points=points)
     valued = spark.sql(f"""
-        SELECT {cols}, o, a, b, c, coalesce(m.pos, 0) AS d, coalesce(if(m.key IS NULL, null, try_variant_get(point, '$.gene', 'string')), if(m.key IS NULL, null, try_variant_get(point, '$.group', 'string')), name) AS name, m.key AS map_key, m.value AS map_value, point
-        FROM vellum_nested, LATERAL variant_explode_outer(try_variant_get(point, '$.values', {v})) m""")
+        SELECT {cols}, o, a, b, f, c, coalesce(m.pos, 0) AS d, coalesce(if(m.key IS NULL, null, try_variant_get(point, '$.gene', 'string')), if(m.key IS NULL, null, try_variant_get(point, '$.group', 'string')), name) AS name, m.key AS map_key, m.value AS map_value, point
+        FROM {{nested}}, LATERAL variant_explode_outer(try_variant_get(point, '$.values', {v})) m""", nested=nested)
     is_box = F.lower(F.coalesce(_get("$.type"), F.lit(""))).isin("boxplot", "box_plot", "box")
     stats = F.filter(F.array(*[F.struct(F.lit(s).alias("key"), _get(f"$.{s}", "double").alias("value")) for s in BOX]), lambda s: s["value"].isNotNull())
     none = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("value")))
-    boxed = valued.withColumn("__stats", F.when(is_box & (F.size(stats) > 0), stats).otherwise(none)).select(*keep, "o", "a", "b", "c", "d", "name", "map_key", "map_value", "point", F.posexplode("__stats").alias("e", "stat"))
+    boxed = valued.withColumn("__stats", F.when(is_box & (F.size(stats) > 0), stats).otherwise(none)).select(*keep, "o", "a", "b", "f", "c", "d", "name", "map_key", "map_value", "point", F.posexplode("__stats").alias("e", "stat"))
     raw_x = F.coalesce(_get("$.x_value"), _get("$.x"))
     x = F.coalesce(_get("$.x_value", "double"), _get("$.x", "double"))
     value = F.coalesce(F.try_variant_get("map_value", "$", "double"), F.col("stat.value"), _get("$.value", "double"))
     category = F.coalesce(F.col("stat.key"), _text("$.category", "$.category_label"), F.col("map_key"), F.when(raw_x.isNull(), _text("$.label")), F.when(raw_x.isNull() & value.isNotNull(), F.col("name")), F.when(x.isNull(), raw_x))
     z = F.coalesce(_get("$.z_value"), _get("$.z"))
     out = boxed.select(
-        *keep, "o", "a", "b", "c", "d", "e",
+        *keep, "o", "a", "b", "f", "c", "d", "e",
         F.coalesce("name", F.lit("")).alias("series_name"),
         x.alias("x_value"),
         F.coalesce(_get("$.y_value", "double"), _get("$.y", "double"), value).alias("y_value"),
@@ -93,7 +98,7 @@ def explode_points(payloads: DataFrame, payload: str = "payload") -> DataFrame:
 
 def dedupe_points(points: DataFrame, result: list[str]) -> DataFrame:
     """The first of points with equal keys in a result, numbered from 0 in order."""
-    order = ["o", "a", "b", "c", "d", "e"]
+    order = ["o", "a", "b", "f", "c", "d", "e"]
     first = points.withColumn("__rn", F.row_number().over(W.partitionBy(*result, "point_key").orderBy(*order))).filter("__rn = 1").drop("__rn")
     return first.withColumn("point_index", F.row_number().over(W.partitionBy(*result).orderBy(*order)) - 1).drop(*order, "point_key")
 
@@ -140,7 +145,7 @@ def fact_rows(points: DataFrame, results: DataFrame, events: DataFrame) -> DataF
                         F.coalesce(F.col("x_value").cast("string"), "category_label").alias("x_value"), text("y_value").alias("y_value"), F.coalesce("z_text", F.lit("")).alias("z_value"),
                         text("confidence").alias("confidence"), F.lit("digitized").alias("digitization_status"))
     rest = [F.lit("").alias(c) for c in ("point_index", "series_name", "x_value", "y_value", "z_value")]
-    axis = results.join(points, ids, "left_anti").select(*ids, F.concat_ws(":", *ids, F.lit("axis")).alias("fact_id"), F.lit("axis").alias("point_index"), *rest[1:], text("extraction_confidence").alias("confidence"), F.coalesce("digitization_status", F.lit("unknown")).alias("digitization_status"))
+    axis = results.join(points, ids, "left_anti").select(*ids, F.concat_ws(":", *ids, F.lit("axis")).alias("fact_id"), F.lit("axis").alias("point_index"), *rest[1:], text("result_confidence").alias("confidence"), F.coalesce("digitization_status", F.lit("unknown")).alias("digitization_status"))
     first = W.partitionBy(*ids).orderBy("pos")
     lost = events.withColumn("rn", F.row_number().over(first)).filter("rn = 1").join(results, ids, "left_anti")
     status = F.when((F.col("event") == "skipped") & (F.col("reason") == "visual_asset_too_small"), "too_low_resolution").otherwise("failed")

@@ -12,15 +12,15 @@ from vellum.functions import text
 NOISE = ("page_header", "page_footer", "page_number", "page_footnote", "page_aside_text")
 #: Bucket -> (relation, scope, policy, confidence).
 BUCKETS = {
-    "visual": ("same_panel_visual", "visual", "use_for_extraction", 0.9),
-    "caption": ("primary_caption", "panel", "use_for_extraction", 0.95),
+    "visual": ("same_panel_visual", "visual", "use_for_facts", 0.9),
+    "caption": ("primary_caption", "panel", "use_for_facts", 0.95),
     "footnote": ("caption_footnote", "figure", "use_for_disambiguation", 0.65),
-    "local_text": ("same_panel", "panel", "use_for_extraction", 0.8),
+    "local_text": ("same_panel", "panel", "use_for_facts", 0.8),
     "heading": ("same_section", "section", "use_for_disambiguation", 0.65),
     "background": ("background", "figure", "background_only", 0.45),
     "sibling": ("sibling_panel", "panel", "do_not_use_for_current_panel", 0.25),
     "excluded": ("excluded", "panel", "do_not_use_for_current_panel", 0.1),
-    "table": ("adjacent_table", "panel", "use_for_extraction", 0.78),
+    "table": ("adjacent_table", "panel", "use_for_facts", 0.78),
     "formula": ("adjacent_formula", "figure", "use_for_disambiguation", 0.65),
     "reference": ("citation", "figure", "use_for_disambiguation", 0.55),
 }
@@ -41,6 +41,25 @@ def filter_noise(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, blocks.filter(F.col("type").isin(*NOISE)).withColumn("reason", F.concat(F.lit("noise:"), F.col("type")))
 
 
+def open_headings(blocks: DataFrame, key: list[str], pos: str, level: str, levels: int = 6) -> DataFrame:
+    """`blocks` with open: array<struct<at, level>> of the headings that hold at each block, the outermost first.
+
+    A heading holds until the next one of its level or a higher one (a smaller number). One window a
+    level carries its last heading; one that a higher level's later heading has closed is dropped. No self-join.
+    """
+    w = W.partitionBy(*key).orderBy(pos).rowsBetween(W.unboundedPreceding, -1)
+    last = [F.last(F.when(F.col(level) == n, F.col(pos)), ignorenulls=True).over(w).alias(f"__h{n}") for n in range(1, levels + 1)]
+    out = blocks.select("*", *last)
+    found = []
+    for n in range(1, levels + 1):
+        at = F.col(f"__h{n}")
+        closed = F.lit(False)
+        for k in range(1, n):
+            closed = closed | F.coalesce(F.col(f"__h{k}") > at, F.lit(False))
+        found.append(F.when(at.isNotNull() & ~closed, F.struct(at.alias("at"), F.lit(n).alias("level"))))
+    return out.withColumn("open", F.array_compact(F.array(*found))).drop(*[f"__h{n}" for n in range(1, levels + 1)])
+
+
 def figures(blocks: DataFrame) -> DataFrame:
     """Visual blocks with figure and panel: the number in the caption, carried forward over visuals without one.
 
@@ -54,7 +73,7 @@ def figures(blocks: DataFrame) -> DataFrame:
     v = v.withColumn("figure_id", name)
     by = W.partitionBy("doc", "page", "figure_id").orderBy(F.coalesce(F.col("bbox")[1], F.lit(0.0)), F.coalesce(F.col("bbox")[0], F.lit(0.0)), "global_order")
     v = v.withColumn("panel_pos", F.row_number().over(by) - 1)
-    letter = F.char(F.lit(97) + F.col("panel_pos") % 26)
+    letter = F.when(F.col("panel_pos") < 26, F.char(F.lit(97) + F.col("panel_pos"))).otherwise(F.concat(F.lit("p"), (F.col("panel_pos") + 1).cast("string")))
     return v.withColumn("panel_id", F.concat_ws("-", "figure_id", letter))
 
 

@@ -37,7 +37,7 @@ def fake_path(path: Column) -> Column:
     low, out = F.lower(path), F.lit(False)
     for part in FAKE:
         out = out | low.contains(part)
-    return out | low.endswith("_fake/extraction_audit.json")
+    return out | low.rlike(r"_fake/[a-z]+_audit\.json$")
 
 
 def test_like(points: DataFrame, run: str) -> DataFrame:
@@ -113,10 +113,10 @@ def enqueue(requested: DataFrame, papers: DataFrame, busy: DataFrame) -> DataFra
     return j.select("pos", "paper_id", status.alias("status"))
 
 
-def paper_reads(papers: DataFrame, assets: DataFrame, extractions: DataFrame, preview: int = 500) -> DataFrame:
-    """paper_id, preview, n_assets (active ones), latest (the extraction of the largest id): what a list of papers shows."""
+def paper_reads(papers: DataFrame, assets: DataFrame, results: DataFrame, preview: int = 500) -> DataFrame:
+    """paper_id, preview, n_assets (active ones), latest (the result of the largest id): what a list of papers shows."""
     a = assets.groupBy("paper_id").agg(F.count_if("is_active").alias("n_assets"))
-    e = extractions.groupBy("paper_id").agg(F.max_by("status", "extraction_id").alias("latest"))
+    e = results.groupBy("paper_id").agg(F.max_by("status", "result_id").alias("latest"))
     j = live(papers).join(a, "paper_id", "left").join(e, "paper_id", "left")
     return j.select("paper_id", F.substring(F.coalesce("body", F.lit("")), 1, preview).alias("preview"), F.coalesce("n_assets", F.lit(0)).alias("n_assets"), "latest")
 
@@ -194,7 +194,7 @@ def merged_metadata(element: Column, default: Column) -> Column:
 
 
 def decision_counts(panels: DataFrame) -> DataFrame:
-    return panels.groupBy("extraction_decision").agg(F.count("*").alias("n")).orderBy("extraction_decision")
+    return panels.groupBy("panel_decision").agg(F.count("*").alias("n")).orderBy("panel_decision")
 
 
 def versions(results: DataFrame, by: str) -> DataFrame:

@@ -66,3 +66,21 @@ def contained_titles(titles: DataFrame, names: DataFrame) -> DataFrame:
     j = inside.select("title", "name", "quality", F.length("__run").alias("score")).union(around.select("title", "name", "quality", F.length("__run").alias("score")))
     w = W.partitionBy("title").orderBy(F.desc("score"), F.desc("quality"), "name")
     return j.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+
+
+def contained_parts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """key, match_key, score of texts `a` (key, name) and `b` (match_key, match) of which one contains the other; score is the shorter one's length.
+
+    Parts of a text make an equality for the join, of those lengths only that the other side has: a bounded
+    number for names and titles, which are short.
+    """
+    def parts(df: DataFrame, col: str, lengths: DataFrame) -> DataFrame:
+        sized = df.join(F.broadcast(lengths)).filter(F.size("lens") > 0)  # one row of different lengths
+        cut = F.flatten(F.transform(F.filter("lens", lambda k: k <= F.length(col)), lambda k: F.transform(F.sequence(F.lit(1), F.length(col) - k + 1), lambda i: F.substr(F.col(col), i, k))))
+        return sized.withColumn("part", F.explode(F.array_distinct(cut))).drop("lens")
+
+    lens = lambda df, col: df.filter(F.col(col) != "").agg(F.array_sort(F.collect_set(F.length(col))).alias("lens"))
+    inside = parts(a, "name", lens(b, "match")).join(b.withColumnRenamed("match", "part"), "part")
+    around = parts(b, "match", lens(a, "name")).join(a.withColumnRenamed("name", "part"), "part")
+    cols = ["key", "match_key", F.length("part").alias("score")]
+    return inside.select(*cols).union(around.select(*cols)).distinct()

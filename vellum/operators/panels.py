@@ -78,7 +78,7 @@ def group_page(captions: list[str], orders: list[int], boxes: list[list[float] |
             named.setdefault(last or f"without {i}", []).append(i)
         return [(g, "separate_caption") for g in named.values()]
     if len(kinds) == 1 and composite(whole):
-        return [(everyone, "same_caption_composite" if len(set(told)) == 1 else "mineru_nested_composite_caption")]
+        return [(everyone, "same_caption_composite" if len(set(told)) == 1 else "nested_composite_caption")]
     if all(matched) and composite(whole):
         return [(everyone, "layout_group")]
     shared = not told or len({c.lower() for c in told}) == 1 or len(kinds) == 1

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.session import scratch
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the order given (ties must be broken by it)."""
@@ -60,19 +62,45 @@ def first_mode(df: DataFrame, keys: list[str], value: str, pos: str) -> DataFram
     return latest_per_key(counted, keys, [F.desc("n"), F.col("first_pos")])
 
 
-def best_of_duplicates(df: DataFrame, keys: list[str], best: list[Column]) -> DataFrame:
-    """Rows with kept_first (their key's best row?) and group_size."""
-    w = W.partitionBy(*keys)
-    return df.withColumn("group_size", F.count("*").over(w)).withColumn("kept", F.row_number().over(w.orderBy(*best)) == 1)
+def best_of_duplicates(df: DataFrame, keys: list[str], best: list[str]) -> DataFrame:
+    """Rows with group_size, best_row (the `best` columns of their key's least row) and kept (whether it is theirs); `best` tells rows of a key apart.
+
+    One row a key is aggregated in every task first and joined back, so copies of one key need not be in one task.
+    """
+    g = df.groupBy(*keys).agg(F.count("*").alias("group_size"), F.min(F.struct(*best)).alias("best_row"))
+    g = g.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [df[k].eqNullSafe(g[f"__{k}"]) for k in keys]
+    return df.join(g, same).drop(*[f"__{k}" for k in keys]).withColumn("kept", F.struct(*best).eqNullSafe(F.col("best_row")))
+
 
+def ancestor(nodes: DataFrame, depth: int = 32) -> DataFrame:
+    """(start, found, steps): the nearest ancestor that qualifies, itself included, of `nodes` (id, parent, ok); at most `depth` steps, so cycles end.
 
-def ancestor(spark, nodes: str, depth: int = 32) -> DataFrame:
-    """(start, found, steps): the nearest ancestor that qualifies, over view `nodes` (id, parent, ok); cycles end at `depth`."""
-    return spark.sql(f"""
-        WITH RECURSIVE walk(start, id, parent, ok, steps) AS (
-          SELECT id, id, parent, ok, 0 FROM {nodes}
-          UNION ALL
-          SELECT w.start, n.id, n.parent, n.ok, w.steps + 1 FROM walk w JOIN {nodes} n ON w.parent = n.id WHERE NOT w.ok AND w.steps < {depth}
+    Pointer doubling: in each round a node without an answer takes that of the node it points to, or points
+    where that one does; rounds are the logarithm of `depth`, each written to the shared folder.
+    """
+    spark = nodes.sparkSession
+    own = F.col("ok")
+    none = F.lit(None).cast("bigint")
+    at = nodes.select(
+        F.col("id").cast("bigint").alias("id"),
+        F.when(~own, F.col("parent").cast("bigint")).alias("ptr"),
+        F.when(~own, 1).alias("dist"),
+        F.when(own, F.col("id").cast("bigint")).otherwise(none).alias("found"),
+        F.when(own, 0).alias("steps"),
+    )
+    covered = 0
+    while covered < depth:
+        path = scratch(spark, "ancestor")
+        at.write.parquet(path)
+        at = spark.read.parquet(path)
+        p = at.select(F.col("id").alias("ptr"), F.col("ptr").alias("p_ptr"), F.col("dist").alias("p_dist"), F.col("found").alias("p_found"), F.col("steps").alias("p_steps"))
+        at = at.join(p, "ptr", "left").select(
+            "id",
+            F.when(F.col("found").isNull() & F.col("p_found").isNull(), F.col("p_ptr")).alias("ptr"),
+            (F.col("dist") + F.col("p_dist")).alias("dist"),
+            F.coalesce("found", "p_found").alias("found"),
+            F.coalesce("steps", F.col("dist") + F.col("p_steps")).alias("steps"),
         )
-        SELECT start, id AS found, steps FROM walk WHERE ok
-    """)
+        covered = 2 * covered + 1
+    return at.filter(F.col("steps") <= depth).select(F.col("id").alias("start"), "found", "steps")

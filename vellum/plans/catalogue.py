@@ -1,4 +1,4 @@
-"""All queries of the reference's operator inventory, bound to the driver's tables."""
+"""All queries of the operator inventory, bound to the test tables."""
 
 from __future__ import annotations
 

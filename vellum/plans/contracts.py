@@ -15,7 +15,7 @@ CAPTIONS = ["Fig. 3 Results. (a) First thing. (b) Second", "(a)", "text b)", "fi
 PANELS = ["fig-3-a", "figure 2 b", "Fig. 10 C", "c", "figure-4", "panel"]
 WORDS = ["High", " very low ", "0.7", "85%", "1.7", "-2", "unknown", ""]
 MESSAGES = ["HTTP 429 too many", "Read Timeout", "bad request", "service temporarily away", ""]
-PATHS = ["a/batch_fake1/x", "runs/my_fake_run/a", "data/fake_/x", "x/y/extraction_audit.json", "a/b_fake/extraction_audit.json"]
+PATHS = ["a/batch_fake1/x", "runs/my_fake_run/a", "data/fake_/x", "x/y/run_audit.json", "a/b_fake/run_audit.json"]
 
 
 def _pairs(spark, values, schema="v string"):
@@ -51,7 +51,7 @@ def _evidence(spark, d):
     n = len(contracts.ORDER)
     bucket = F.element_at(F.array(*map(F.lit, contracts.ORDER)), (F.col("turn") % n).cast("int") + 1)
     ident = F.when((F.col("conv_id") + F.col("turn")) % 11 == 0, "").otherwise(F.concat(F.lit("e"), F.expr("turn div 3").cast("string")))
-    policy = F.when(F.col("role") == "user", "use_for_extraction").when(F.col("turn") % 4 == 1, "background_only").otherwise("use_for_disambiguation")
+    policy = F.when(F.col("role") == "user", "use_for_facts").when(F.col("turn") % 4 == 1, "background_only").otherwise("use_for_disambiguation")
     relation = F.when(F.col("turn") % n == 0, "primary_caption").otherwise("citation")
     return c.select("conv_id", bucket.alias("bucket"), F.col("turn").alias("pos"), ident.alias("evidence_id"), F.when(F.col("turn") == 0, "caption").otherwise("text").alias("source_type"), relation.alias("relation"), policy.alias("use_policy"), F.when(F.col("conv_id") % 2 == 0, "caption_segment").otherwise("text").alias("text_level"), "text")
 
@@ -92,7 +92,7 @@ def semantic_results(spark, d):
         F.when(kind != 2, F.col("event_type")).alias("task"),
         F.lit("a1").alias("assay_class"),
         F.when(kind != 3, "m").alias("metric_type"),
-        F.when(kind < 2, "extract_supporting_observation").alias("extraction_decision"),
+        F.when(kind < 2, "extract_supporting_observation").alias("panel_decision"),
         F.lit("line").alias("panel_type"),
         F.when(kind == 0, (F.col("value") / 100).cast("string")).when(kind == 1, "High").alias("confidence"),
     ))
@@ -159,14 +159,14 @@ def routing(spark, d):
     p = table(spark, d, "part")
     kind = F.when(F.col("p_size") % 3 == 0, "Chart").when(F.col("p_size") % 3 == 1, "image").otherwise("")
     f = p.withColumn("f", contracts.fallback(kind)).select("p_partkey", "f.*")
-    decided = f.withColumn("digitize", contracts.digitize(F.col("extraction_decision"), F.col("needs_digitization") & (F.col("p_partkey") % 2 == 0)))
+    decided = f.withColumn("digitize", contracts.digitize(F.col("panel_decision"), F.col("needs_digitization") & (F.col("p_partkey") % 2 == 0)))
     return decided.groupBy("panel_type", "evidence_role", "digitize").agg(F.count("*").alias("n"))
 
 
 def evidence_levels(spark, d):
     """Levels, formats and roles of every relation and policy, and the containment test of caption parts."""
     relations = ["primary_caption", "same_panel_visual", "adjacent_table", "adjacent_formula", "same_section", "background", "sibling_panel", "citation"]
-    policies = ["use_for_extraction", "use_for_disambiguation", "background_only", "do_not_use_for_current_panel"]
+    policies = ["use_for_facts", "use_for_disambiguation", "background_only", "do_not_use_for_current_panel"]
     r = spark.createDataFrame([(a, b) for a in relations for b in policies], "relation string, policy string")
     html = F.when(F.col("policy") == "background_only", "<table>")
     return r.select("relation", "policy", contracts.text_level(F.col("relation"), F.lit("list")).alias("level"), contracts.text_format(html, F.when(F.col("relation") == "citation", "x")).alias("format"),
@@ -196,10 +196,10 @@ _KEYCUT = " ".join(f"WHEN ends_with(v, '_{s}') THEN left(substr(v, 3), length(v)
 _ORDER = " ".join(f"WHEN {i} THEN '{b}'" for i, b in enumerate(contracts.ORDER))
 _EVIDENCE = f"""e AS (SELECT conv_id, CASE turn % {len(contracts.ORDER)} {_ORDER} END AS bucket, turn % {len(contracts.ORDER)} AS place, turn AS pos, CASE WHEN (conv_id + turn) % 11 = 0 THEN '' ELSE 'e' || (turn // 3) END AS evidence_id,
  CASE WHEN turn = 0 THEN 'caption' ELSE 'text' END AS source_type, CASE WHEN turn % {len(contracts.ORDER)} = 0 THEN 'primary_caption' ELSE 'citation' END AS relation,
- CASE WHEN role = 'user' THEN 'use_for_extraction' WHEN turn % 4 = 1 THEN 'background_only' ELSE 'use_for_disambiguation' END AS use_policy, CASE WHEN conv_id % 2 = 0 THEN 'caption_segment' ELSE 'text' END AS text_level, text FROM conversations),
+ CASE WHEN role = 'user' THEN 'use_for_facts' WHEN turn % 4 = 1 THEN 'background_only' ELSE 'use_for_disambiguation' END AS use_policy, CASE WHEN conv_id % 2 = 0 THEN 'caption_segment' ELSE 'text' END AS text_level, text FROM conversations),
 d AS (SELECT * FROM e WHERE evidence_id <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, evidence_id ORDER BY place, pos) = 1),
 i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place, pos) - 1 AS item, source_type = 'caption' AND relation = 'primary_caption' AND text_level = 'caption_segment' AS ref FROM d)"""
-_ROLE = "CASE WHEN use_policy = 'background_only' THEN 'background' WHEN use_policy = 'use_for_extraction' AND relation = 'primary_caption' THEN 'primary' ELSE 'supporting' END"
+_ROLE = "CASE WHEN use_policy = 'background_only' THEN 'background' WHEN use_policy = 'use_for_facts' AND relation = 'primary_caption' THEN 'primary' ELSE 'supporting' END"
 _FOCUS = lambda x: f"CASE WHEN regexp_matches(v, '(?i)\\(?\\s*{x}\\s*[\\):.\\s,;]') THEN split_part(regexp_extract(v, '(?is)(\\(?\\s*{x}\\s*[\\):.\\s,;].*)', 1), '.', 1) ELSE v END"
 _LEVELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in contracts.LEVELS.items())
 ORACLE = {
@@ -221,17 +221,17 @@ UNION ALL SELECT 'units', v, array_to_string(list_filter([{", ".join(map(_q, axe
 UNION ALL SELECT 'panel', v, CASE WHEN n <> '' THEN 'fig-' || n ELSE '' END || '#' || CASE WHEN pl <> '' THEN 'fig-' || pn || '-' || pl ELSE '' END || '#' || CASE WHEN regexp_matches(v, '^[a-z]$') THEN v ELSE pl END FROM pk
 UNION ALL SELECT 'confidence', v, CASE WHEN x IS NULL THEN 'none' ELSE format('{{:.2f}}', greatest(0, least(1, x))) END FROM wk
 UNION ALL SELECT 'retry', v, {_HAS('lower(v)', lifecycle.RETRY)}::VARCHAR FROM m
-UNION ALL SELECT 'fake', v, ({_HAS('lower(v)', lifecycle.FAKE)} OR ends_with(lower(v), '_fake/extraction_audit.json'))::VARCHAR FROM f""",
+UNION ALL SELECT 'fake', v, ({_HAS('lower(v)', lifecycle.FAKE)} OR ends_with(lower(v), '_fake/run_audit.json'))::VARCHAR FROM f""",
     "contract_items": f"WITH {_EVIDENCE} SELECT conv_id, item::INT AS item, evidence_id, bucket, use_policy, {_ROLE} AS role, md5(CASE WHEN ref THEN '' ELSE left(text, 360) END) AS excerpt_md5, ref AS caption_segment_ref FROM i",
-    "prompt_items": f"WITH {_EVIDENCE.replace('FROM e WHERE', 'FROM e WHERE place < 5 AND')} SELECT conv_id, count(*) AS n, sum(length(CASE WHEN ref THEN '' ELSE left(text, 240) END))::BIGINT AS chars, use_policy = 'use_for_extraction' AS use FROM i WHERE item < 20 GROUP BY ALL",
-    "contract_documents": f"""WITH {_EVIDENCE} SELECT conv_id, count(*)::INT AS n_items, '[' || coalesce(string_agg('"' || evidence_id || '"', ',' ORDER BY item) FILTER (WHERE use_policy = 'use_for_extraction'), '') || ']' AS extractable, arg_min(evidence_id, item) AS first_id FROM i GROUP BY conv_id""",
-    "evidence_defaults": f"""WITH {_EVIDENCE}, g AS (SELECT conv_id, list(evidence_id ORDER BY pos) AS ids, list(evidence_id ORDER BY pos) FILTER (WHERE use_policy = 'use_for_extraction') AS usable, list(evidence_id ORDER BY pos) FILTER (WHERE use_policy = 'use_for_extraction' AND pos % 2 = 0) AS visual FROM e WHERE evidence_id <> '' GROUP BY conv_id),
+    "prompt_items": f"WITH {_EVIDENCE.replace('FROM e WHERE', 'FROM e WHERE place < 5 AND')} SELECT conv_id, count(*) AS n, sum(length(CASE WHEN ref THEN '' ELSE left(text, 240) END))::BIGINT AS chars, use_policy = 'use_for_facts' AS use FROM i WHERE item < 20 GROUP BY ALL",
+    "contract_documents": f"""WITH {_EVIDENCE} SELECT conv_id, count(*)::INT AS n_items, '[' || coalesce(string_agg('"' || evidence_id || '"', ',' ORDER BY item) FILTER (WHERE use_policy = 'use_for_facts'), '') || ']' AS extractable, arg_min(evidence_id, item) AS first_id FROM i GROUP BY conv_id""",
+    "evidence_defaults": f"""WITH {_EVIDENCE}, g AS (SELECT conv_id, list(evidence_id ORDER BY pos) AS ids, list(evidence_id ORDER BY pos) FILTER (WHERE use_policy = 'use_for_facts') AS usable, list(evidence_id ORDER BY pos) FILTER (WHERE use_policy = 'use_for_facts' AND pos % 2 = 0) AS visual FROM e WHERE evidence_id <> '' GROUP BY conv_id),
 v AS (SELECT *, list_filter(['e1', 'nowhere', 'e0'], lambda x: list_contains(ids, x)) AS valid, coalesce(visual, usable, ids)[1:3] AS defaults FROM g),
 a AS (SELECT *, list_concat(valid, visual[1:3]) AS own FROM v)
 SELECT conv_id, array_to_string(CASE WHEN visual IS NOT NULL THEN list_filter(own, lambda x, k: list_position(own, x) = k) WHEN len(valid) > 0 THEN valid ELSE defaults END, ',') AS ids, array_to_string(defaults, ',') AS defaults, array_to_string(valid, ',') AS valid FROM a""",
-    "semantic_results": """WITH e AS (SELECT *, event_id % 4 AS k FROM events), r AS (SELECT event_id, k, value, event_type, CASE k WHEN 0 THEN 'context_only' WHEN 1 THEN event_type ELSE 'unusable' END AS panel_relevance, CASE WHEN k < 2 THEN 'extract_supporting_observation' ELSE 'skip_metric_extraction' END AS extraction_decision,
+    "semantic_results": """WITH e AS (SELECT *, event_id % 4 AS k FROM events), r AS (SELECT event_id, k, value, event_type, CASE k WHEN 0 THEN 'context_only' WHEN 1 THEN event_type ELSE 'unusable' END AS panel_relevance, CASE WHEN k < 2 THEN 'extract_supporting_observation' ELSE 'skip_metrics' END AS panel_decision,
  CASE k WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE 3 END AS n_missing, CASE k WHEN 0 THEN greatest(0, least(1, value / 100)) WHEN 1 THEN 0.9 ELSE 0.5 END AS c FROM e)
-SELECT event_id, panel_relevance, extraction_decision, CASE WHEN k < 2 THEN 'supporting_observation' ELSE 'unusable' END AS evidence_role, CASE WHEN k <> 2 THEN event_type ELSE '' END AS application_task, CASE WHEN k <> 3 THEN 'm' ELSE '' END AS metric_category,
+SELECT event_id, panel_relevance, panel_decision, CASE WHEN k < 2 THEN 'supporting_observation' ELSE 'unusable' END AS evidence_role, CASE WHEN k <> 2 THEN event_type ELSE '' END AS application_task, CASE WHEN k <> 3 THEN 'm' ELSE '' END AS metric_category,
  round((CASE WHEN n_missing > 0 THEN least(c, 0.4) ELSE c END)::DOUBLE, 6) AS confidence, n_missing::INT AS n_missing FROM r""",
     "visual_facts": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events) SELECT 'p' || user_id AS panel_id, i::INT AS index, CASE WHEN event_id % 3 = 0 THEN 'id' || event_id ELSE 'p' || user_id || '-vf-' || i END AS fact_id, 'other_visual_fact' AS fact_type, event_type AS subject, CASE WHEN event_type = 'signup' THEN 'x' ELSE '' END AS attribute, '' AS value FROM n WHERE event_type <> 'error'",
     "heatmap_candidates": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events) SELECT user_id, i::INT AS index, event_type AS metric_name, CASE WHEN event_id % 3 = 0 THEN event_id::VARCHAR ELSE user_id::VARCHAR END AS value, CASE WHEN event_id % 2 = 0 THEN '1' ELSE '' END AS value_min, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR ELSE '' END AS value_max, event_id % 2 = 0 AS needs_review FROM n WHERE event_type <> 'error'",
@@ -242,8 +242,8 @@ SELECT id, coalesce(grp, own, '') AS metric_category, CASE WHEN own <> grp THEN
 g AS (SELECT user_id, series_name, [arg_min(cid, event_id), arg_min(cid, (y, event_id)) FILTER (WHERE y IS NOT NULL), arg_min(cid, (-y, event_id)) FILTER (WHERE y IS NOT NULL), arg_max(cid, event_id)] AS p FROM e GROUP BY ALL), f AS (SELECT user_id, series_name, list_filter(p, lambda x: x IS NOT NULL) AS p FROM g)
 SELECT user_id, series_name, array_to_string(list_filter(p, lambda x, k: list_position(p, x) = k), ',') AS points FROM f""",
     "routing": "WITH p AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'chart' WHEN 1 THEN 'image' ELSE 'unknown' END AS panel_type FROM part) SELECT panel_type, CASE WHEN panel_type = 'chart' THEN 'primary_metric_panel' ELSE 'supporting_observation' END AS evidence_role, panel_type = 'chart' AND p_partkey % 2 = 0 AS digitize, count(*) AS n FROM p GROUP BY ALL",
-    "evidence_levels": f"""WITH r(relation) AS (VALUES ('primary_caption'), ('same_panel_visual'), ('adjacent_table'), ('adjacent_formula'), ('same_section'), ('background'), ('sibling_panel'), ('citation')), p(policy) AS (VALUES ('use_for_extraction'), ('use_for_disambiguation'), ('background_only'), ('do_not_use_for_current_panel')),
+    "evidence_levels": f"""WITH r(relation) AS (VALUES ('primary_caption'), ('same_panel_visual'), ('adjacent_table'), ('adjacent_formula'), ('same_section'), ('background'), ('sibling_panel'), ('citation')), p(policy) AS (VALUES ('use_for_facts'), ('use_for_disambiguation'), ('background_only'), ('do_not_use_for_current_panel')),
 x AS (SELECT *, CASE policy WHEN 'background_only' THEN 'background' WHEN 'do_not_use_for_current_panel' THEN 'non_current_panel' ELSE 'supporting' END AS base, relation IN ('primary_caption', 'same_panel_visual') AS main FROM r, p)
 SELECT relation, policy, CASE relation {_LEVELS} ELSE 'list' END AS level, CASE WHEN policy = 'background_only' THEN 'html' WHEN relation = 'citation' THEN 'latex' ELSE 'plain_text' END AS format,
- CASE WHEN main THEN 'primary' ELSE base END AS role, CASE WHEN main AND policy = 'use_for_extraction' THEN 'primary' ELSE base END AS policy_role, relation IN ('primary_caption', 'citation') AS inside FROM x""",
+ CASE WHEN main THEN 'primary' ELSE base END AS role, CASE WHEN main AND policy = 'use_for_facts' THEN 'primary' ELSE base END AS policy_role, relation IN ('primary_caption', 'citation') AS inside FROM x""",
 }

@@ -21,7 +21,7 @@ def block_noise_report(spark, d):
 
 def _graded(spark, d):
     docs = table(spark, d, "documents").withColumn("text_hash", text.text_hash(text.compact(F.col("text"))))
-    return best_of_duplicates(docs.select("doc_id", "source", "text_hash"), ["text_hash"], [F.col("source"), F.col("doc_id")])
+    return best_of_duplicates(docs.select("doc_id", "source", "text_hash"), ["text_hash"], ["source", "doc_id"])
 
 
 def exact_dedupe(spark, d):
@@ -30,8 +30,7 @@ def exact_dedupe(spark, d):
 
 def dedupe_report(spark, d):
     """(kept, removed): the winner of each group with each of its losers."""
-    g = _graded(spark, d).withColumn("kept_id", F.first("doc_id").over(W.partitionBy("text_hash").orderBy("source", "doc_id")))
-    return g.filter("not kept").select("kept_id", F.col("doc_id").alias("removed_id"))
+    return _graded(spark, d).filter("not kept").select(F.col("best_row.doc_id").alias("kept_id"), F.col("doc_id").alias("removed_id"))
 
 
 def html_type_counts(spark, d):

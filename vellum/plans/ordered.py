@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.operators.relational import first_mode
+from vellum.operators import graph
 from vellum.session import table
 
 
@@ -19,13 +20,9 @@ def heading_stack(spark, d):
     Orders of a customer are the page, odd keys headings with the priority's digit as level, even keys visuals.
     """
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("level"))
-    heads = o.filter("o_orderkey % 2 = 1").select("o_custkey", F.col("o_orderkey").alias("heading"), "level")
-    visuals = o.filter("o_orderkey % 2 = 0").select("o_custkey", F.col("o_orderkey").alias("visual"))
-    j = visuals.join(heads, "o_custkey").filter("heading < visual")
-    w = _by("o_custkey", "visual").orderBy(F.desc("heading"))
-    later = F.min("level").over(w.rowsBetween(W.unboundedPreceding, -1))
-    kept = j.withColumn("low", later).filter("low is null or low > level")
-    return kept.withColumn("distance", F.row_number().over(w)).select("visual", "heading", "level", "distance")
+    h = graph.open_headings(o.withColumn("level", F.when(F.col("o_orderkey") % 2 == 1, F.col("level"))), ["o_custkey"], "o_orderkey", "level")
+    path = h.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("visual"), F.posexplode(F.reverse("open")).alias("pos", "h"))
+    return path.select("visual", F.col("h.at").alias("heading"), F.col("h.level").alias("level"), (F.col("pos") + 1).alias("distance"))
 
 
 def neighbour_context(spark, d):
@@ -36,9 +33,9 @@ def neighbour_context(spark, d):
 
 def sibling_context(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", "role")
-    s = c.select("conv_id", F.col("turn").alias("other"), F.col("role").alias("other_role"))
-    j = c.join(s, "conv_id").filter("other <> turn and other_role <> role")
-    return j.groupBy("conv_id", "turn").agg(F.count("*").alias("n_siblings"), F.min("other").alias("first_sibling"), F.max("other").alias("last_sibling"))
+    per = c.groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.min("turn").alias("lo"), F.max("turn").alias("hi")).withColumnRenamed("role", "other_role")
+    j = c.join(per, "conv_id").filter("other_role <> role")  # a conversation has few roles
+    return j.groupBy("conv_id", "turn").agg(F.sum("n").alias("n_siblings"), F.min("lo").alias("first_sibling"), F.max("hi").alias("last_sibling"))
 
 
 def citation_lookahead(spark, d):

@@ -123,7 +123,7 @@ def enqueue_report(spark, d):
 
 def paper_reads(spark, d):
     assets = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("paper_id"), (F.col("l_returnflag") != "A").alias("is_active"))
-    e = table(spark, d, "events").select(F.col("user_id").alias("paper_id"), F.col("event_id").alias("extraction_id"), F.col("event_type").alias("status"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("paper_id"), F.col("event_id").alias("result_id"), F.col("event_type").alias("status"))
     return lifecycle.paper_reads(_papers(spark, d), assets, e, 4)
 
 
@@ -187,8 +187,8 @@ def audit_event_counts(spark, d):
     e = table(spark, d, "events")
     repairs = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("enum"), F.col("event_type"))).otherwise(F.array().cast("array<string>"))
     a = lifecycle.audit_counts(e.select("event_type", repairs.alias("repairs"), F.when(F.col("event_type") == "view", F.concat(F.lit("phase"), (F.col("user_id") % 2).cast("string"))).alias("phase")))
-    c = lifecycle.decision_counts(e.select(F.col("event_type").alias("extraction_decision")))
-    return a.unionByName(c.select(F.lit("decision").alias("what"), F.col("extraction_decision").alias("name"), "n"))
+    c = lifecycle.decision_counts(e.select(F.col("event_type").alias("panel_decision")))
+    return a.unionByName(c.select(F.lit("decision").alias("what"), F.col("panel_decision").alias("name"), "n"))
 
 
 def layout_lines(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import units
-from vellum.operators import digitize
+from vellum.operators import digitize, matching
 from vellum.operators.relational import latest_per_key
 from vellum.session import table
 
@@ -59,14 +59,10 @@ def ontology_gaps(spark, d):
 
 
 def fuzzy_title(spark, d):
-    """Names that another name contains; the longest contained name wins, then the least key."""
-    n = table(spark, d, "nation")
-    a = n.select(F.col("n_nationkey").alias("title_key"), F.lower("n_name").alias("title"))
-    b = n.select(F.col("n_nationkey").alias("match_key"), F.lower("n_name").alias("name"))
-    # names of a title start where it starts: its beginnings make an equality for the join
-    heads = a.withColumn("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("title")), lambda k: F.col("title").substr(F.lit(1), k))))
-    j = heads.join(b, "name").filter("match_key <> title_key")
-    return latest_per_key(j, ["title_key"], [F.desc(F.length("name")), F.col("match_key")]).select("title_key", "match_key", F.length("name").alias("score"))
+    """Names that contain another or that another contains; the longest contained one wins, then the least key."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.lower("n_name").alias("name"))
+    m = matching.contained_parts(n, n.withColumnsRenamed({"key": "match_key", "name": "match"})).filter("match_key <> key")
+    return latest_per_key(m, ["key"], [F.desc("score"), F.col("match_key")]).select(F.col("key").alias("title_key"), "match_key", "score")
 
 
 def nearest_palette(spark, d):
@@ -102,7 +98,7 @@ x AS (SELECT metric, unit, coalesce((SELECT arg_min(u.dim, u.pos) FROM u WHERE p
  coalesce((SELECT arg_min(r.dim, r.pos) FROM r WHERE contains(replace(lower(p.metric), ' ', '_'), r.term)), '') AS metric_dimension FROM p)
 SELECT *, unit_dimension <> '' AND unit_dimension = metric_dimension AS compatible FROM x""",
     "ontology_gaps": "WITH g AS (SELECT event_type, user_id % 7 AS dim, count(DISTINCT (user_id, day(ts))) AS support, last(value ORDER BY ts, event_id) AS last_value, count(*) AS n_rows FROM events WHERE event_type IN ('error', 'signup') GROUP BY ALL) SELECT *, CASE WHEN support >= 2 THEN 'candidate' ELSE 'observed' END AS status, round(least(0.95::DOUBLE, 0.4::DOUBLE + 0.01::DOUBLE * support), 6) AS confidence FROM g",
-    "fuzzy_title": "SELECT a.n_nationkey AS title_key, b.n_nationkey AS match_key, length(b.n_name)::INT AS score FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey AND starts_with(lower(a.n_name), lower(b.n_name)) QUALIFY row_number() OVER (PARTITION BY a.n_nationkey ORDER BY length(b.n_name) DESC, b.n_nationkey) = 1",
+    "fuzzy_title": "SELECT a.n_nationkey AS title_key, b.n_nationkey AS match_key, least(length(a.n_name), length(b.n_name))::INT AS score FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey AND (contains(lower(a.n_name), lower(b.n_name)) OR contains(lower(b.n_name), lower(a.n_name))) QUALIFY row_number() OVER (PARTITION BY a.n_nationkey ORDER BY least(length(a.n_name), length(b.n_name)) DESC, b.n_nationkey) = 1",
     "nearest_palette": "WITH p AS (SELECT vec_id AS k, embedding AS q FROM embeddings ORDER BY vec_id LIMIT 10), x AS (SELECT vec_id, k, list_distance(embedding::DOUBLE[], q::DOUBLE[]) AS d FROM embeddings, p) SELECT vec_id, k AS nearest, round(d * d, 4) AS distance FROM x QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1",
     "alias_fields": "SELECT event_id, coalesce(nullif(value, 0), 0.5)::DOUBLE AS confidence, coalesce(nullif(props::JSON->>'label', ''), event_type) AS label FROM events",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vellum.operators import audit
 from vellum.operators import relational as R
 from vellum.session import table
 
@@ -71,8 +72,7 @@ def latest_per_key(spark, d):
 
 def ancestor_walk(spark, d):
     o = table(spark, d, "orders")
-    o.select(F.col("o_orderkey").alias("id"), F.expr("o_orderkey div 2").alias("parent"), (F.col("o_orderstatus") == "F").alias("ok")).createOrReplaceTempView("vellum_walk")
-    return R.ancestor(spark, "vellum_walk")
+    return R.ancestor(o.select(F.col("o_orderkey").alias("id"), F.expr("o_orderkey div 2").alias("parent"), (F.col("o_orderstatus") == "F").alias("ok")))
 
 
 def snapshot_tables(spark, d):
@@ -104,11 +104,7 @@ def box_unpivot(spark, d):
 
 def table_matrix(spark, d):
     """Header-ordered string matrix of at most 500 rows with the uncapped total."""
-    c = table(spark, d, "customer")
-    rows = c.orderBy("c_custkey").limit(500).select(
-        F.col("c_custkey").cast("string").alias("c0"), F.coalesce("c_name", F.lit("")).alias("c1"), F.coalesce(F.col("c_nationkey").cast("string"), F.lit("")).alias("c2"), F.lit("").alias("c3")
-    )
-    return rows.withColumn("total", F.lit(c.count()).cast("bigint"))
+    return audit.string_matrix(table(spark, d, "customer"), {"c0": ["c_custkey"], "c1": ["name", "c_name"], "c2": ["c_nationkey"], "c3": ["gone"]}, ["c_custkey"])
 
 
 QUERIES = {f.__name__: f for f in (active_counts, window_open, compatible_runs, compatible_failed, no_live_job, status_pivot, status_fold, keyset_page, bounded_admission, latest_per_key, ancestor_walk, snapshot_tables, unpivot_points, box_unpivot, table_matrix)}

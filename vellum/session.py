@@ -39,6 +39,8 @@ def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that all executors share: spark.checkpoint.dir, or this machine's where it is unset (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.vellum.scratch", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="vellum-scratch-")
         spark.conf.set("spark.vellum.scratch", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

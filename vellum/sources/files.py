@@ -29,8 +29,7 @@ def load_blocks(files: DataFrame) -> DataFrame:
     raw = files.withColumn("json", F.try_parse_json("value"))
     good = F.schema_of_variant(F.col("json")).startswith("ARRAY<ARRAY<") | (F.schema_of_variant(F.col("json")) == "ARRAY<VOID>")
     checked = raw.withColumn("json", F.when(F.coalesce(good, F.lit(False)), F.col("json")).otherwise(F.raise_error(F.concat(F.lit("not a list of pages of blocks: "), F.col("path"))).cast("variant")))
-    checked.createOrReplaceTempView("vellum_block_files")
-    rows = files.sparkSession.sql("SELECT path, p.pos AS page, b.pos AS reading_order, b.value AS block FROM vellum_block_files, LATERAL variant_explode(json) p, LATERAL variant_explode(p.value) b")
+    rows = files.sparkSession.sql("SELECT path, p.pos AS page, b.pos AS reading_order, b.value AS block FROM {files}, LATERAL variant_explode(json) p, LATERAL variant_explode(p.value) b", files=checked)
     get = lambda p, t="string": F.try_variant_get("block", p, t)
     kinds = F.create_map(*[F.lit(x) for kv in BLOCK_TYPES.items() for x in kv])
     t = F.lower(F.coalesce(get("$.type"), F.lit("")))
@@ -55,10 +54,11 @@ def load_blocks(files: DataFrame) -> DataFrame:
 def load_layout(files: DataFrame) -> DataFrame:
     """Layout blocks of a list of pages or {pages: [...]}; boxes without four numbers and broken files give no rows."""
     raw = files.withColumn("json", F.try_parse_json("value")).withColumn("pages", F.coalesce(F.try_variant_get("json", "$.pages", "variant"), F.col("json")))
-    raw.filter(F.schema_of_variant("pages").startswith("ARRAY<")).createOrReplaceTempView("vellum_layout_files")
+    lists = raw.filter(F.schema_of_variant("pages").startswith("ARRAY<"))
     rows = files.sparkSession.sql(
-        "SELECT path AS doc, p.pos AS ordinal, p.value AS pg, b.pos AS pos, b.value AS block FROM vellum_layout_files, LATERAL variant_explode(pages) p, "
-        "LATERAL variant_explode(coalesce(try_variant_get(p.value, '$.preproc_blocks', 'variant'), try_variant_get(p.value, '$.blocks', 'variant'))) b"
+        "SELECT path AS doc, p.pos AS ordinal, p.value AS pg, b.pos AS pos, b.value AS block FROM {lists}, LATERAL variant_explode(pages) p, "
+        "LATERAL variant_explode(coalesce(try_variant_get(p.value, '$.preproc_blocks', 'variant'), try_variant_get(p.value, '$.blocks', 'variant'))) b",
+        lists=lists,
     )
     box = F.array(*[F.try_variant_get("block", f"$.bbox[{i}]", "double") for i in range(4)])
     page = F.coalesce(F.try_variant_get("pg", "$.page_idx", "int"), F.try_variant_get("pg", "$.page_id", "int"), F.col("ordinal"))
