@@ -317,3 +317,18 @@ def test_chain_marginals_by_enumeration():
         on += w * np.array(tags)
     got = toxicity._chain(np.c_[emit, np.zeros((1, 3))], np.array([6]), move)[0][0]
     assert np.allclose(got[:6], on / total) and (got[6:] == 0).all()
+
+
+def test_sets_that_share_a_half_of_their_hash(spark):
+    """With four bits of the first half nearly all sets share it; components stay those of whole hashes."""
+    words = [f"w{i}" for i in range(2000)]
+    rows = []
+    for i in range(60):
+        own = words[i * 30 : i * 30 + 60]
+        rows += [(3 * i, " ".join(own)), (3 * i + 1, " ".join([*own[:-1], "x"])), (3 * i + 2, " ".join(own))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_components(d).collect()}
+    few = ngram_join.ngram_rows(d, bits=4)
+    least = few.groupBy("root").agg(F.min("id").alias("c"))
+    assert {(r["id"], r["n_shingles"]): r["c"] for r in few.join(least, "root").collect()} == got
+    assert len(set(got.values())) > 20

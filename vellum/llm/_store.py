@@ -5,20 +5,25 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _written: list[tuple[SparkSession, str]] = []
+_own = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of this machine only where it is unset (local tests)."""
     got = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.vellum.sharedDir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="vellum-shared-")
         spark.conf.set("spark.vellum.sharedDir", got)
     return got.rstrip("/")
@@ -42,9 +47,34 @@ def _clean() -> None:
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/vellum-{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
+    if getattr(_own, "paths", None) is not None:
+        _own.paths.append(path)
     return path
 
 
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths that this thread makes within the block."""
+    before, _own.paths = getattr(_own, "paths", None), []
+    made = _own.paths
+    try:
+        yield made
+    finally:
+        _own.paths = before
+        if before is not None:
+            before += made
+
+
+def read_paths(df: DataFrame) -> str:
+    """The folders and files that a plan scans, as one text."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            out.append(leaf.relation().location().rootPaths().mkString(" "))
+    return " ".join(out)
+
+
 def stored(df: DataFrame, label: str, **options) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

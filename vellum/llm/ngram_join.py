@@ -18,10 +18,11 @@ from vellum.llm.bpe import blocks
 from vellum.llm.components import components
 
 WORDS = 5
-#: Ranges of tokens that are counted apart, at least; with more shuffle partitions, as many as those.
-BUCKETS = 64
-#: Documents of one cell of the search; a larger cluster is searched in pairs of such blocks.
-CELL = 1500
+#: Ranges of tokens that are counted apart, at least; with more shuffle partitions, as many as those; and one for
+#: so many bytes of text, so that a range of any table fits a task.
+BUCKETS, BUCKET_BYTES = 64, 48 << 20
+#: Documents and shingles of one cell of the search; a larger cluster is searched in pairs of such blocks.
+CELL, CELL_SHINGLES = 1500, 2_000_000
 #: Members of a component that a set is compared with before it searches.
 LEADERS = 16
 #: Documents of clusters up to this number (of 40 bytes) are broadcast to the texts; more are joined by a shuffle.
@@ -82,8 +83,8 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return owner[new], got[new]
 
 
-def _digests(owner: np.ndarray, got: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per document: shingles and 128 bits that tell its set."""
+def _digests(owner: np.ndarray, got: np.ndarray, n_docs: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per document: shingles and 128 bits that tell its set; of the first half only `bits` (fewer in tests)."""
     n = np.bincount(owner, minlength=n_docs)
     at = np.r_[0, np.cumsum(n)][:-1]
     out = []
@@ -91,8 +92,13 @@ def _digests(owner: np.ndarray, got: np.ndarray, n_docs: int) -> tuple[np.ndarra
         total = np.zeros(n_docs, np.uint64)
         if len(got):
             total[n > 0] = np.add.reduceat(mixed(got, salt), at[n > 0])
-        out.append(mixed(total, salt).view(np.int64))
-    return n, out[0], out[1]
+        out.append(mixed(total, salt))
+    return n, (out[0] & _U(2**bits - 1)).view(np.int64), out[1].view(np.int64)
+
+
+def _names(h1: np.ndarray, h2: np.ndarray, shared: frozenset[int]) -> np.ndarray:
+    """A set's name: its first half, but both halves in one where different sets share the first."""
+    return np.where(np.isin(h1, np.fromiter(shared, np.int64, len(shared))), h1 ^ h2, h1) if shared else h1
 
 
 def overlap_needed(n: int) -> int:
@@ -226,12 +232,12 @@ def _tokens(owner: np.ndarray, got: np.ndarray, n_buckets: int) -> tuple[np.ndar
     return owner[new], bucket[new], token[new]
 
 
-def shingle_sets(docs: DataFrame, n_buckets: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, n_buckets: int, bits: int = 64) -> DataFrame:
     """(id, key, text) -> id, key, n_shingles, n_tokens, h1, h2: the size of each document's set and 128 bits of hash of it."""
 
     def run(batches):
         for block, owner, got in _batches(batches):
-            n, h1, h2 = _digests(owner, got, block.num_rows)
+            n, h1, h2 = _digests(owner, got, block.num_rows, bits)
             size = np.bincount(_tokens(owner, got, n_buckets)[0], minlength=block.num_rows)
             cols = [block.column(0), block.column(1), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(h1), pa.array(h2)]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "n_shingles", "n_tokens", "h1", "h2"])
@@ -239,7 +245,7 @@ def shingle_sets(docs: DataFrame, n_buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, key bigint, n_shingles bigint, n_tokens bigint, h1 bigint, h2 bigint")
 
 
-def _postings(docs: DataFrame, n_buckets: int) -> DataFrame:
+def _postings(docs: DataFrame, n_buckets: int, shared: frozenset[int], bits: int) -> DataFrame:
     """bucket, sets, counts, tokens: a row for each block of texts and bucket, with each set's tokens (4 bytes) there.
 
     A task sends a set that it has sent before no second time.
@@ -248,7 +254,8 @@ def _postings(docs: DataFrame, n_buckets: int) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         for block, owner, got in _batches(batches):
-            n, h1, _ = _digests(owner, got, block.num_rows)
+            n, h1, h2 = _digests(owner, got, block.num_rows, bits)
+            h1 = _names(h1, h2, shared)
             fresh = np.zeros(block.num_rows, bool)
             for d, h in enumerate(h1.tolist()):
                 if n[d] and h not in seen:
@@ -312,13 +319,14 @@ def _rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(sets))], names=["token", "set"])
 
 
-def _candidates(docs: DataFrame, sets: DataFrame, n_buckets: int) -> DataFrame:
+def _candidates(docs: DataFrame, sets: DataFrame, n_buckets: int, clash: frozenset[int], bits: int) -> DataFrame:
     """(set, other): every two sets that can link are connected by such pairs.
 
     Two sets with similarity 0.8 share a token of their prefixes: the n - ceil(0.8 n) + 1 rarest of n.
     A set with that many tokens of its own has no candidate, and its tokens go no further.
     """
-    shared = _postings(docs, n_buckets).groupBy("bucket").applyInArrow(_shared, "bucket int, set bigint, n int, tokens binary, counts binary")
+    # as many partitions as buckets, so that a task's share does not grow with the table
+    shared = _postings(docs, n_buckets, clash, bits).repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_shared, "bucket int, set bigint, n int, tokens binary, counts binary")
     cells = shared.groupBy("set").agg(F.sum("n").alias("n"), F.collect_list(F.struct("bucket", "tokens", "counts")).alias("cells"))
     sizes = sets.groupBy(F.col("h1").alias("set")).agg(F.max("n_shingles").alias("n_shingles"), F.min("n_tokens").alias("n_tokens"))
     prefix = F.col("n_shingles") - F.expr("(4 * n_shingles + 4) div 5") + 1
@@ -328,13 +336,14 @@ def _candidates(docs: DataFrame, sets: DataFrame, n_buckets: int) -> DataFrame:
     return lists.join(first, "token").filter("set <> other").select("set", "other").distinct()
 
 
-def _searched(table: pa.Table) -> pa.Table:
+def _searched(table: pa.Table, shared: frozenset[int], bits: int) -> pa.Table:
     """One cell: (set, other) for links that tell the cell's components."""
     by_set: dict[int, np.ndarray] = {}
     texts, wanted = table["text"].to_pylist(), table["set"].to_pylist()
     for a, b in blocks(texts):
         owner, got = shingles(texts[a:b])
-        n, h1, _ = _digests(owner, got, b - a)
+        n, h1, h2 = _digests(owner, got, b - a, bits)
+        h1 = _names(h1, h2, shared)
         ends = np.cumsum(n)
         for d in range(b - a):
             if int(h1[d]) == wanted[a + d]:
@@ -346,7 +355,9 @@ def _searched(table: pa.Table) -> pa.Table:
 
 def _cells(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     """(cluster, i, j, set, text): one row of each set in every pair of blocks that its block is in."""
-    members = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"))
+    full = F.greatest(F.count(F.lit(1)) / CELL, F.sum("n_shingles") / CELL_SHINGLES)
+    members = clusters.groupBy("cluster").agg(F.ceil(full).cast("int").alias("blocks"))
+    clusters = clusters.drop("n_shingles")
     placed = clusters.join(members, "cluster").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     placed = stored(placed, "placed")
     placed = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
@@ -365,21 +376,31 @@ def first_rows(rows: DataFrame, by: str) -> DataFrame:
     return least.select(by, "r.id", "r.key", "r.copies")
 
 
-def ngram_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, key (`row_key`), n_shingles and root, equal for rows that links connect; null without shingles."""
+def ngram_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
+    """Per row: id, key (`row_key`), n_shingles and root, equal for rows that links connect; null without shingles.
+
+    `bits` of a set's hash name it; sets that share them are named by 64 bits of both halves instead.
+    """
     spark = docs.sparkSession
     ship(spark)
     id_, text = F.col(f"`{id_col}`").cast("bigint"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(id_.alias("id"), row_key(id_, text).alias("key"), text.alias("text"))
-    n_buckets = max(BUCKETS, partitions(spark))
-    sets = stored(shingle_sets(rows, n_buckets), "sets")
-    pairs = _candidates(rows, sets, n_buckets)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = max(BUCKETS, partitions(spark), math.ceil(size / BUCKET_BYTES))
+    found = stored(shingle_sets(rows, n_buckets, bits), "sets")
+    halves = found.groupBy("h1").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi")).filter("lo <> hi")
+    clash = frozenset(r["h1"] for r in halves.collect())  # 64 bits: a few in 10**10 sets
+    name = F.when(F.col("h1").isin(*clash), F.col("h1").bitwiseXOR(F.col("h2"))).otherwise(F.col("h1")) if clash else F.col("h1")
+    sets = found.select("id", "key", "n_shingles", "n_tokens", name.alias("h1"))
+    pairs = _candidates(rows, sets, n_buckets, clash, bits)
     clusters = components(pairs)
     clusters = clusters.select(F.col("node").alias("set"), F.col("root").alias("cluster")).union(clusters.select("root", "root").distinct())
     kept = first_rows(sets.filter("n_shingles > 0"), "h1")
-    cells = _cells(rows, clusters.join(kept, clusters["set"] == kept["h1"]).select("cluster", "set", "key", "copies"))
-    found = cells.groupBy("cluster", "i", "j").applyInArrow(_searched, "set bigint, other bigint")
-    roots = components(stored(found, "links"))
+    sizes = sets.groupBy("h1").agg(F.max("n_shingles").alias("n_shingles"))
+    placed = clusters.join(kept, clusters["set"] == kept["h1"]).join(sizes, "h1").select("cluster", "set", "key", "copies", "n_shingles")
+    cells = _cells(rows, placed)
+    links_of = lambda table: _searched(table, clash, bits)
+    roots = components(stored(cells.groupBy("cluster", "i", "j").applyInArrow(links_of, "set bigint, other bigint"), "links"))
     named = sets.filter("n_shingles > 0").join(roots.withColumnRenamed("node", "h1"), "h1", "left").select("id", "key", "n_shingles", F.coalesce("root", "h1").alias("root"))
     return named.union(sets.filter("n_shingles = 0").select("id", "key", "n_shingles", F.lit(None).cast("bigint")))
 
@@ -388,7 +409,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Per row: id, n_shingles and component_id, the least id that links lead to, itself included.
 
     Two documents link when the Jaccard similarity of their sets of word 5-shingles is 0.8 or more.
-    All links count: the search is exact, up to collisions of 64-bit hashes of shingles.
+    All links count: the search is exact, up to collisions of 64-bit hashes of shingles and of 128-bit hashes of sets.
 
     Null or empty texts have no shingles and link with nothing. Rows with equal sets are one node of
     the search, however many they are; rows that repeat an id are documents with that id. A null id is
