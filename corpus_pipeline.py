@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm._store import stored
+from vellum.llm._store import collected, delete, read_paths, stored
 from vellum.llm.bpe import bpe
 from vellum.llm.line_dedup import line_dedup
 from vellum.llm.mixing import mix
@@ -14,16 +18,46 @@ from vellum.llm.quality_rules import quality_rules
 from vellum.llm.queries import vocabulary
 
 
+_left = threading.local()
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes what the stages before it, in this thread, left in the shared folder and `docs` does not read."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        needed, old = read_paths(docs), getattr(_left, "paths", [])
+        for path in old:
+            if path.rsplit("/", 1)[-1] not in needed:
+                delete(spark, path)
+        with collected() as made:
+            out = f(spark, docs, sf_dir)
+        _left.paths = made + [p for p in old if p.rsplit("/", 1)[-1] in needed]
+        return out
+
+    return run
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep.
+
+    Null and empty texts have no words and go; rows that repeat are judged alike; all columns stay; an empty table gives an empty one.
+    """
     return quality_rules(docs).filter("kept").select(*docs.columns)
 
 
+@_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less the lines that other documents hold; n_chars follows the text."""
+    """Texts less the lines that other documents hold; n_chars follows the text.
+
+    A null text is empty; rows that repeat an id are one document; of other columns only those of documents stay; an empty
+    table gives an empty one.
+    """
     return line_dedup(docs).selectExpr("doc_id", "text", "lang", "source", "cast(char_length(text) as bigint) as n_chars")
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row; rows without words all stay.
 
@@ -42,13 +76,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return out.union(least.select("r.*"))
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at equal weights: documents repeat or go."""
+    """Sources at equal weights: documents repeat or go.
+
+    A null source is a source of its own; null and empty texts count one unit; all columns stay; an empty table gives an empty one.
+    """
     return mix(docs).select(*docs.columns)
 
 
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and the token ids of each copy, with their number and the hash of what they decode to."""
+    """doc_id, source and the token ids of each copy, with their number and the hash of what they decode to.
+
+    Null and empty texts have no ids; rows that repeat are encoded one by one; an empty table gives an empty one.
+    """
     out = bpe(docs.select("doc_id", "source", "text"), vocabulary("byte_bpe_50k.json"))
     return out.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
