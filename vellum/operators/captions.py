@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text
 
+#: A list of panel letters; weights of a caption's score; values that belong to the whole figure.
 _LIST = r"[a-z](?:\s*,\s*[a-z])*"
+OWN_LABEL, PERCENT, COMPARISON, LENGTH, TITLE, WORDS_FOR_ONE = 2.8, 1.0, 1.0, 0.5, 2.5, 25.0
+PARENT_VALUES = ("16.1%", "1.3%", "0.7%", "7 days", "7 d", "prolonged")
 
 
 def figure_panels(sentence: Column) -> Column:
@@ -45,12 +48,12 @@ def caption_score(candidate: Column, label: Column, figure: Column) -> Column:
     s = F.lower(text.compact(candidate))
     n = F.size(F.split(s, " "))
     score = (
-        F.when(s.startswith(F.concat(label, F.lit(" "))), 2.8).otherwise(0.0)
-        + F.when(s.rlike(r"\d+(?:\.\d+)?\s*%"), 1.0).otherwise(0.0)
-        + F.when(s.rlike(r"\b(before|after|vs\.?|versus|compared|difference)\b"), 1.0).otherwise(0.0)
-        + F.when(n.between(5, 30), 0.5).otherwise(0.0)
-        - F.when(s.contains("figure") | s.contains("fig."), 2.5).otherwise(0.0)
-        + F.least(n, F.lit(40)) / 25.0
+        F.when(s.startswith(F.concat(label, F.lit(" "))), OWN_LABEL).otherwise(0.0)
+        + F.when(s.rlike(r"\d+(?:\.\d+)?\s*%"), PERCENT).otherwise(0.0)
+        + F.when(s.rlike(r"\b(before|after|vs\.?|versus|compared|difference)\b"), COMPARISON).otherwise(0.0)
+        + F.when(n.between(5, 30), LENGTH).otherwise(0.0)
+        - F.when(s.contains("figure") | s.contains("fig."), TITLE).otherwise(0.0)
+        + F.least(n, F.lit(40)) / WORDS_FOR_ONE
     )
     return F.when(reliable(candidate, label, figure), score).otherwise(0.0)
 
@@ -66,3 +69,30 @@ def merge_captions(a: Column, b: Column) -> Column:
     """The longer of two captions if one contains the other, else both."""
     x, y = text.compact(F.coalesce(a, F.lit(""))), text.compact(F.coalesce(b, F.lit("")))
     return F.when(x.contains(y), x).when(y.contains(x), y).otherwise(F.concat_ws(" ", x, y))
+
+
+def sentence_class(sentence: Column, label: Column, figure: Column) -> Column:
+    """strong, weak or excluded for a panel, or null: whether a sentence names it, alone, and speaks of values of the whole figure.
+
+    A sentence that names the panel is strong; with a value of the whole figure it is weak, and excluded if it names
+    others too. One that names other panels only is weak, with such a value excluded. One that merely starts
+    with the letter or has it in brackets is weak.
+    """
+    s = F.lower(sentence)
+    number = F.coalesce(F.regexp_extract(F.coalesce(figure, F.lit("")), r"(\d+)", 1), F.lit(""))
+    named = sentence_labels(sentence, number)
+    start = F.regexp_like(s, F.concat(F.lit(r"^\s*(?:panel\s*)?"), label, F.lit(r"[\s)\]:;\-]")))
+    labels = F.when(start & ~F.array_contains(named, label), F.array_append(named, label)).otherwise(named)
+    by_number = F.regexp_like(s, F.concat(F.lit(r"\b(?:fig(?:ure)?\.?\s*)?"), number, F.lit(r"\s*(?:"), label, F.lit(r"\b|\(\s*"), label, F.lit(r"(?:\s*,\s*[a-z])*\))")))
+    direct = F.when(number != "", by_number).otherwise(s.startswith(F.concat(label, F.lit(" "))))
+    shared = F.lit(False)
+    for v in PARENT_VALUES:
+        shared = shared | s.contains(v)
+    many, mine = F.size(labels) > 1, F.array_contains(labels, label)
+    bracketed = F.regexp_like(s, F.concat(F.lit(r"\("), label, F.lit(r"\)|\["), label, F.lit(r"\]|\b"), label, F.lit(r"[)\]:;\-]")))
+    known = F.coalesce(label, F.lit("")) != ""
+    return (
+        F.when(known & (direct | mine), F.when(shared & many, "excluded").when(shared, "weak").otherwise("strong"))
+        .when(F.size(labels) > 0, F.when(shared, "excluded").otherwise("weak"))
+        .when(known & (F.trim(s).startswith(label) | bracketed), "weak")
+    )

@@ -51,3 +51,14 @@ def segments(markers: DataFrame, key: list[str], caption: str) -> DataFrame:
     nxt = F.coalesce(F.min("start").over(w), F.length(caption))
     body: Column = F.trim(F.substring(F.col(caption), F.col("stop") + 1, nxt - F.col("stop")))
     return markers.withColumn("segment", F.regexp_replace(body, r"[;.\s]+$", ""))
+
+
+#: A lone lower-case letter after a start or a stop and before a word; a figure's name that must not follow it.
+LONE = re.compile(r"(?:^\s*|[;:,.)\]}\-]\s*)([a-z])(?=\s+[A-Za-z0-9(\[]|$)")
+NAMED = re.compile(r"\s*[;:,\-]?\s*fig(?:ure)?\.?\s*\d+", re.IGNORECASE)
+
+
+def lone_markers(caption: str) -> list[tuple[str, int]]:
+    """(letter, position) of lower-case letters that open a part of a caption without brackets."""
+    body = " ".join(caption.split())
+    return [(m[1], m.start(1)) for m in LONE.finditer(body) if not NAMED.match(body, m.end(1)) and not body[: m.start(1)][-1:].isalnum()]

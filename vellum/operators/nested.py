@@ -188,3 +188,9 @@ def markdown(blocks: DataFrame, doc: str = "doc", preview: int = 20_000) -> Data
     body = F.array_join(F.col("l.line"), "\n\n")
     plain = F.replace(F.replace(F.replace(body, F.lit("!["), F.lit("[")), F.lit("]("), F.lit(" ")), F.lit(")"), F.lit(" "))
     return lines.select(doc, body.alias("markdown"), F.substring(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")), 1, preview).alias("preview"))
+
+
+def caption_text(captions: Column, structured: Column) -> Column:
+    """A visual's caption: its captions (map of lists) but for footnotes, else the structured one."""
+    body = F.flatten(F.map_values(F.map_filter(captions, lambda k, _: ~k.contains("footnote"))))
+    return F.when(F.size(body) > 0, F.array_join(body, " ")).otherwise(F.coalesce(structured, F.lit("")))
