@@ -31,7 +31,7 @@ TOP, DENSITY, DOCUMENT_STEPS = 3, 5.0, 400
 #: A beginning needs so many different words in toxic texts.
 STEMS, STEM_WORDS = (4, 5, 6, 7), 3
 #: Words of a worker whose marks are remembered; words of one batch of sequences.
-REMEMBERED, CELLS = 500_000, 1_000_000
+REMEMBERED, CELLS = 500_000, 250_000
 N_FEATURES = 6
 
 
@@ -58,11 +58,16 @@ def marks(word: str) -> list[str]:
 @lru_cache(maxsize=1)
 def letters() -> Classifier:
     """Letters against all else, and the lower case of those that keep their length in UTF-8."""
-    points = [c for c in range(0x40000) if not 0xD800 <= c < 0xE000]  # there are no letters beyond
+    points = (c for c in range(0x40000) if not 0xD800 <= c < 0xE000)  # there are no letters beyond
     kind = np.full(0x110000, SPACE, np.uint8)
-    kind[[c for c in points if chr(c).isalpha()]] = LETTER
-    low = [(c, chr(c).lower()) for c in points if chr(c).isalpha() and chr(c).lower() != chr(c)]
-    low = [(c, ord(x)) for c, x in low if len(x) == 1 and len(x.encode()) == len(chr(c).encode())]
+    low = []
+    for c in points:
+        x = chr(c)
+        if x.isalpha():
+            kind[c] = LETTER
+            y = x.lower()
+            if y != x and len(y) == 1 and len(y.encode()) == len(x.encode()):
+                low.append((c, ord(y)))
     starts = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
     return Classifier(Table(starts, kind[starts], np.array([c for c, _ in low]), np.array([x for _, x in low])))
 
@@ -364,9 +369,10 @@ def fit(rows: list[tuple[str, int]]) -> Field:
         other = _rows(s, np.flatnonzero(half != k))
         some = Field(marking(other, toxic[half != k], groups[half != k]), out.emit, out.move)
         mine = np.flatnonzero((half == k) & (np.diff(s.first) > 0))
-        z += [summary(m) for m in marginals(s, mine, some, Ratios(some.words))]
-        seen.append(toxic[mine])
-    out.document = _document(np.array(z), np.concatenate(seen))
+        for r, m in marginals(s, mine, some, Ratios(some.words)):
+            z.append(summary(m))
+            seen.append(toxic[r])
+    out.document = _document(np.array(z), np.array(seen))
     return out
 
 
@@ -378,29 +384,30 @@ def _rows(s: Split, rows: np.ndarray) -> Split:
     return Split(s.numbers[at], s.words, none, none, np.r_[0, np.cumsum(n)], s.capital[at])
 
 
-def marginals(s: Split, rows: np.ndarray, field: Field, ratios: Ratios) -> list[np.ndarray]:
-    """Per row of `rows` the marginals of its words, at least one word each; rows of like lengths are computed together.
+def marginals(s: Split, rows: np.ndarray, field: Field, ratios: Ratios) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, marginals of its words) of each of `rows`, at least one word each; rows of like lengths are computed together.
 
     A text with no marking word has equal potentials throughout; its marginals depend on its length alone.
     """
-    of = ratios(s.words)[s.numbers] if len(s.numbers) else np.zeros((0, 2))
-    marked = np.r_[0, np.cumsum(of.max(1) > 0)]
+    of = ratios(s.words)
+    marked = np.r_[0, np.cumsum((of.max(1) > 0)[s.numbers], dtype=np.int32)] if len(of) else np.zeros(1, np.int32)
     hard = marked[s.first[rows + 1]] > marked[s.first[rows]]
-    length, out = s.first[rows + 1] - s.first[rows], [None] * len(rows)
+    length = s.first[rows + 1] - s.first[rows]
     for i in np.flatnonzero(~hard):
-        out[i] = _plain(int(min(length[i], SEQUENCE)), field.emit[0], field.move.tobytes())
+        m = _plain(int(min(length[i], SEQUENCE)), field.emit[0], field.move.tobytes())
         if length[i] > SEQUENCE:  # the middle of a longer text repeats
-            out[i] = np.insert(out[i], SEQUENCE // 2, np.full(length[i] - SEQUENCE, out[i][SEQUENCE // 2]))
+            m = np.insert(m, SEQUENCE // 2, np.full(length[i] - SEQUENCE, m[SEQUENCE // 2]))
+        yield rows[i], m
     order = np.flatnonzero(hard)[np.argsort(length[hard], kind="stable")]
     while len(order):
         n = int(np.searchsorted(length[order] * np.arange(1, len(order) + 1), CELLS, side="right"))
-        some, order = order[: max(1, n)], order[max(1, n) :]
-        r, size = _padded(of, s.first, rows[some])
-        big, _ = _padded(s.capital, s.first, rows[some])
-        marginal, _ = _chain(_features(r, big, size) @ field.emit, size, field.move)
-        for i, m, n in zip(some, marginal, size, strict=True):
-            out[i] = m[:n]
-    return out
+        some, order = rows[order[: max(1, n)]], order[max(1, n) :]
+        words, size = _padded(s.numbers, s.first, some)
+        big, _ = _padded(s.capital, s.first, some)
+        inside = np.arange(words.shape[1]) < size[:, None]
+        marginal, _ = _chain(_features(of[words] * inside[:, :, None], big, size) @ field.emit, size, field.move)
+        for r, m, n in zip(some, marginal, size, strict=True):
+            yield r, m[:n]
 
 
 @lru_cache(maxsize=4096)
@@ -440,7 +447,7 @@ def score_block(data: np.ndarray, rows: np.ndarray, field: Field, ratios: Ratios
     score, spans = np.zeros(len(rows) - 1), [[] for _ in range(len(rows) - 1)]
     mine = np.flatnonzero(np.diff(s.first) > 0)
     lead = (data & 0xC0) != 0x80
-    for r, m in zip(mine, marginals(s, mine, field, ratios), strict=True):
+    for r, m in marginals(s, mine, field, ratios):
         score[r] = 1 / (1 + math.exp(-float(summary(m) @ field.document)))
         if score[r] >= 0.5 and (hit := np.flatnonzero(m >= 0.5)).size:
             points = np.r_[0, np.cumsum(lead[rows[r] : rows[r + 1]])]
