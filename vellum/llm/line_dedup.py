@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._store import let
+from vellum.llm._store import let, stored
 
 #: The white space that keys are stripped of, and the letters that they fold.
 STRIP = " \t\n\x0b\f\r"
@@ -31,43 +31,36 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     are replaced; all others pass through.
 
     Plan: one shuffle of 32-byte (key, id) rows with a partial aggregation on both sides of it, so a
-    line that all documents hold is pre-counted in each task; one join of the lines with the common
-    keys; one join of the documents with their own list of dropped positions.
+    line that all documents hold is pre-counted in each task. The common keys are written to the shared
+    folder: Spark knows their size, broadcasts them if they are few, and else splits the tasks of a
+    line that very many documents hold. One join of the documents with their own list of dropped positions.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    own = docs.drop("n_lines", "n_dropped").withColumns({"__id": F.col(f"`{id_col}`"), "__th": F.xxhash64(text)})
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept if c != text_col]).alias("row")
+    own = docs.select(row, F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    own = own.withColumn("th", F.xxhash64("text"))
+    lines = F.split("text", "\n")
     line = (
-        own.filter(F.col("__id").isNotNull())
-        .select("__id", "__th", F.posexplode(F.split(text, "\n")).alias("__pos", "__line"))
-        .filter(F.char_length(F.btrim("__line", F.lit(STRIP))) >= min_chars)
-        .withColumn("__key", line_key(F.col("__line")))
-        .select("__id", "__th", "__pos", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit(1), F.col("__key")).alias("__h2"))
+        own.filter(F.col("id").isNotNull())
+        .select("id", "th", F.posexplode(lines).alias("pos", "line"))
+        .filter(F.char_length(F.btrim("line", F.lit(STRIP))) >= min_chars)
+        .withColumn("key", line_key(F.col("line")))
+        .select("id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
     )
-    common = (
-        line.groupBy("__h1", "__h2")
-        .agg(F.count_distinct("__id").alias("__n"), F.max("__id").alias("__keep"))
-        .filter(F.col("__n") >= min_docs)
-        .drop("__n")
+    common = stored(
+        line.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keep")).filter(F.col("n") >= min_docs).drop("n"),
+        "common-lines",
     )
-    dropped = (
-        line.join(common, ["__h1", "__h2"])
-        .filter(F.col("__id") != F.col("__keep"))
-        .groupBy("__id", "__th")
-        .agg(F.collect_set("__pos").alias("__drop"))
-    )
-    lines = F.split(text, "\n")
+    dropped = line.join(common, ["h1", "h2"]).filter(F.col("id") != F.col("keep")).groupBy("id", "th").agg(F.collect_set("pos").alias("drop"))
 
     def reassembled(own_lines: Column) -> Column:  # array_except hashes: linear in the lines
-        keep = F.array_except(F.sequence(F.lit(0), F.size(own_lines) - 1), F.col("__drop"))
+        keep = F.array_except(F.sequence(F.lit(0), F.size(own_lines) - 1), F.col("drop"))
         return F.array_join(F.transform(keep, lambda p: F.get(own_lines, p)), "\n")
 
-    rest = let(lines, reassembled)
-    out = own.join(dropped, ["__id", "__th"], "left").withColumns(
-        {
-            "n_lines": F.size(lines).cast("bigint"),
-            "n_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("bigint"),
-            text_col: F.when(F.col("__drop").isNull(), text).otherwise(rest),
-        }
+    out = own.join(dropped, ["id", "th"], "left")
+    cut = F.when(F.col("drop").isNull(), F.col("text")).otherwise(let(lines, reassembled))
+    return out.select(
+        *[cut.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in kept],
+        F.size(lines).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )
-    cols = [f"`{c}`" for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*cols, "n_lines", "n_dropped")
