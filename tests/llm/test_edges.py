@@ -332,3 +332,27 @@ def test_sets_that_share_a_half_of_their_hash(spark):
     least = few.groupBy("root").agg(F.min("id").alias("c"))
     assert {(r["id"], r["n_shingles"]): r["c"] for r in few.join(least, "root").collect()} == got
     assert len(set(got.values())) > 20
+
+
+def test_embedding_values(spark):
+    """Doubles beyond the range of their squares, ties, double vectors, zeros of both signs, nulls: links by value."""
+    rows = [
+        (1, 0, [1e200, 0.0, 1.0]), (2, 0, [0.0, 1e200, 3.0]), (3, 0, [1e200, 1e199, 0.0]), (4, 0, [1e-200, 0.0, 0.0]), (5, 0, [1e-200, 1e-202, 0.0]), (6, 1, [1.0, 0.0, 0.0]),
+        (7, 1, [1.0, 0.0, 0.0]), (8, 1, [1.0, -0.0, 0.0]), (9, 1, [0.0, 0.0, 0.0]), (10, 1, None), (11, None, [1.0, 0.0, 0.0]), (12, 1, [1.0, float("nan"), 0.0]), (12, 1, [1.0, 0.0, 0.0]), (13, 0, [5e-324, 0.0, 0.0]),
+    ]
+    d = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup(d).collect())
+    # 1, 3, 4, 5 and 13 lie along the first axis; 3 is 0.995 from it
+    assert got == sorted([(1, 4, 1), (2, 0, 2), (3, 4, 1), (4, 4, 1), (5, 4, 1), (13, 4, 1), (6, 3, 6), (7, 3, 6), (8, 3, 6), (9, 0, 9), (10, 0, 10), (11, 0, 11), (12, 0, 12), (12, 3, 6)])
+
+
+def test_internal_names_may_clash(spark):
+    """Columns with the names that the operators use inside come back as they were."""
+    names = ["__id", "__th", "__drop", "id", "th", "row", "drop", "pos", "__m", "__code", "m", "code", "h1", "__source", "__cdf"]
+    text = "a line that is long enough to count as one of the common lines\nother"
+    d = spark.createDataFrame([(i, text, "s", *[f"{n}{i}" for n in names]) for i in range(6)], "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for out, n_rows in ((line_dedup(d), 6), (quality_rules(d), 6)):
+        got = out.select(*[f"`{n}`" for n in names], "doc_id").collect()
+        assert len(got) == n_rows and all(r[k] == f"{n}{r['doc_id']}" for r in got for k, n in enumerate(names))
+    cut = {r["doc_id"]: (r["n_dropped"], r["text"]) for r in line_dedup(d).collect()}
+    assert cut == {i: (1, "other") for i in range(5)} | {5: (0, text)}

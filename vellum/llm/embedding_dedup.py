@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._store import ship, stored
+from vellum.llm._store import let, ship, stored
 from vellum.llm.components import components
 
 #: Rotations are fitted on at most so many vectors, and numbers in them, of each of at most so many
@@ -25,8 +25,6 @@ RECALL, PLANTED = 0.99, 2_000
 MAX_TABLES = 64
 #: A vector asks for its own chunk and for those with some of this many bits turned, the nearest to turning.
 WEAK = 3
-#: Parts into which the rows of one node are dealt when they get its result.
-SALTS = 8
 
 
 class Rotations:
@@ -158,8 +156,15 @@ def usable(vector: Column) -> Column:
     return F.coalesce(good & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def scaled(vector: Column) -> Column:
+    """A vector times a power of two, which is exact, so that no square of it overflows or vanishes."""
+    most = F.array_max(F.transform(vector, lambda x: F.abs(x)))
+    by = F.pow(F.lit(2.0), -F.greatest(F.lit(-1000.0), F.floor(F.log2(most))))
+    return let(by, lambda m: F.transform(vector, lambda x: x * m))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """In double precision."""
+    """In double precision, of `scaled` vectors."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
@@ -232,7 +237,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         (F.col("x") != F.col("y")) & (F.bit_count(F.col("code_x").bitwiseXOR(F.col("code_y"))) <= F.col("radius"))
     ).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     pairs = met.select("a", "b").distinct()
-    v = nodes.select("node", "vector")
+    v = nodes.select("node", scaled(F.col("vector")).alias("vector"))
     ranked = pairs.join(v.withColumnsRenamed({"node": "a", "vector": "va"}), "a").join(v.withColumnsRenamed({"node": "b", "vector": "vb"}), "b")
     links = ranked.select("a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine")).filter(F.col("cosine") >= threshold)
     return nodes, stored(links, "links")
@@ -255,15 +260,14 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     both = links.select("a", "b").union(links.select("b", "a"))
     other = both.join(size.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("members").alias("others"))
     roots = components(links.select("a", "b"))
-    known = nodes.join(other, "node", "left").join(roots, "node", "left").select(
-        "label", "vector", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("root", "node").alias("root")
+    # rows find their node by 128 bits of hash of label and vector: no vector moves, and Spark splits the tasks of a node with very many rows
+    name = [F.xxhash64(F.lit(k), F.col("label"), F.col("vector")).alias(f"h{k}") for k in (1, 2)]
+    known = nodes.select("node", "members", *name).join(other, "node", "left").join(roots, "node", "left").select(
+        "h1", "h2", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("root", "node").alias("root")
     )
     rows = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     fits = F.col("label").isNotNull() & F.col("id").isNotNull() & usable(F.col("vector"))
-    # members of one node stay apart: the join deals rows by a salt, and each node's line goes to every salt
-    salted = rows.filter(fits).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    linked = salted.join(spread, ["label", "vector", "salt"]).select("id", F.col("n").alias("n_links"), F.col("root").alias("component_id"))
+    linked = rows.filter(fits).select("id", *name).join(stored(known, "known"), ["h1", "h2"]).select("id", F.col("n").alias("n_links"), F.col("root").alias("component_id"))
     alone = rows.filter(~fits).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.union(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
     return out.withColumnRenamed("id", id_col)
