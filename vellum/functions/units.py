@@ -80,6 +80,18 @@ def normal_unit(c: Column) -> Column:
     return out
 
 
+#: What contracts of metrics fold in units, in order; unlike the registry's folds they read both micro signs and leave '*'.
+_CONTRACT_FOLDS = (("µ", "u"), ("μ", "u"), (" ", ""), ("·", ""), ("^", ""), ("per", "/"))
+
+
+def contract_unit(c: Column) -> Column:
+    """A unit as contracts of metrics compare it."""
+    out = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    for a, b in _CONTRACT_FOLDS:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
 def unit_dimension(c: Column) -> Column:
     """The first dimension that lists the unit, or ''."""
     first: dict[str, str] = {}

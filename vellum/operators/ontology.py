@@ -38,7 +38,7 @@ def overlay(candidates: DataFrame, existing: DataFrame | None = None, pos: str =
 
 def unit_allowed(pairs: DataFrame, contract: DataFrame) -> DataFrame:
     """`pairs` (metric, unit) with allowed: a blank unit is not, an unknown metric is, else the contract (metric, units) lists it."""
-    known = contract.select("metric", F.transform("units", units.normal_unit).alias("__units"))
+    known = contract.select("metric", F.transform("units", units.contract_unit).alias("__units"))
     j = pairs.join(known, "metric", "left")
     blank = F.trim(F.coalesce("unit", F.lit(""))) == ""
-    return j.withColumn("allowed", F.when(blank, False).when(F.col("__units").isNull(), True).otherwise(F.array_contains("__units", units.normal_unit(F.col("unit"))))).drop("__units")
+    return j.withColumn("allowed", F.when(blank, False).when(F.col("__units").isNull(), True).otherwise(F.array_contains("__units", units.contract_unit(F.col("unit"))))).drop("__units")

@@ -165,13 +165,16 @@ def with_fallback(payload: Column, fallback: Column) -> Column:
 
 
 def compact_contract(name: str, schema: dict) -> dict:
-    """What an answer must hold, from a JSON schema: its name, its fields with types, those required, values of enumerations."""
-    fields = schema.get("properties", {})
+    """What an answer must hold, from a JSON schema: its name, its fields with types, those required, values of enumerations, an empty answer."""
+    fields = {k: v for k, v in schema.get("properties", {}).items() if isinstance(v, dict)}
+    empty = {"array": [], "object": {}, "number": None, "integer": None, "boolean": False}
+    kind = lambda v: "|".join(v["type"]) if isinstance(v.get("type"), list) else v.get("type", "any")
     return {
-        "object_name": name,
-        "fields": {k: v.get("type", "any") for k, v in sorted(fields.items())},
-        "required": sorted(schema.get("required", [])),
-        "enums": {k: v["enum"] for k, v in sorted(fields.items()) if v.get("enum")},
+        "object_name": name or schema.get("title", "output"),
+        "fields": {k: kind(v) for k, v in fields.items()},
+        "required": list(schema.get("required", [])),
+        "enums": {k: v["enum"] for k, v in fields.items() if isinstance(v.get("enum"), list)},
+        "skeleton": {k: empty.get(kind(v), "") for k, v in fields.items()},
     }
 
 

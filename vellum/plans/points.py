@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import units
-from vellum.operators import digitize, matching
+from vellum.operators import digitize, matching, ontology
 from vellum.operators.relational import latest_per_key
 from vellum.session import table
 
 #: Pairs that exercise the unit and metric tables, among them the case-folded collisions.
 PAIRS = [("growth rate", "1/h"), ("glucose concentration", "mM"), ("pore size", "mm"), ("yield percent", "%"), ("modulus", "MPa"), ("pressure", "Pa"), ("phosphate", "mg/L"), ("viability", "wt%"), ("peak load", "N"), ("cell count", "CFU/mL"), ("film thickness", "um"), ("mystery", "")]
 
+#: Units in forms that the two folds read alike and unlike.
+FORMS = ["µm", "μm", "um", "mm ", "mg/L", "mg per l", "m*s", "N·m", "x^2", "", " "]
+
 
 def props_json(spark, d):
     e = table(spark, d, "events").withColumn("k", F.try_variant_get(F.try_parse_json("props"), "$.k", "int"))
@@ -115,6 +118,19 @@ def payload_points(spark, d):
     )
 
 
+def unit_forms(spark, d):
+    """Units as the registry and as contracts fold them, and whether a metric's contract allows them."""
+    p = spark.createDataFrame([(u,) for u in FORMS], "unit string").withColumn("metric", F.when(F.col("unit").contains("m"), "size").otherwise("other"))
+    contract = spark.createDataFrame([("size", ["um", "mm", "mg per L"])], "metric string, units array<string>")
+    a = ontology.unit_allowed(p, contract)
+    return a.select("unit", units.normal_unit(F.col("unit")).alias("registry"), units.contract_unit(F.col("unit")).alias("contract"), "allowed")
+
+
+QUERIES["unit_forms"] = unit_forms
+_FORMS = ", ".join(f"('{u}')" for u in FORMS)
+ORACLE["unit_forms"] = f"""
+WITH f(unit) AS (VALUES {_FORMS}), x AS (SELECT unit, {_FOLD.format("unit")} AS registry, replace(replace(replace(replace(replace(replace(lower(trim(unit)), 'µ', 'u'), 'μ', 'u'), ' ', ''), '·', ''), '^', ''), 'per', '/') AS contract FROM f)
+SELECT *, CASE WHEN trim(unit) = '' THEN false WHEN NOT contains(unit, 'm') THEN true ELSE contract IN ('um', 'mm', 'mg/l') END AS allowed FROM x"""
 QUERIES["payload_points"] = payload_points
 ORACLE["payload_points"] = """
 WITH n AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id) - 1 AS i FROM events)
