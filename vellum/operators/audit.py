@@ -87,3 +87,57 @@ def result_state(metrics: Column, facts: Column, observations: Column, digitized
 
 def quality_score(metrics: Column, facts: Column, observations: Column) -> Column:
     return 3 * metrics + 2 * facts + observations
+
+
+#: Text fields of a stored point; lists of points may stand one level deeper.
+_POINT = ("series_name", "series", "x_value", "x", "y_value", "y", "z_value", "z", "category_label", "category", "x_axis_label", "x_label", "y_axis_label", "y_label", "x_unit", "y_unit", "unit", "confidence")
+_FLAT = "struct<" + ",".join(f"{c}:string" for c in _POINT) + ">"
+_NESTED = "array<struct<" + ",".join(f"{c}:string" for c in (*_POINT, "name")) + f",data_points:array<{_FLAT}>,points:array<{_FLAT}>>>"
+
+
+def _present(c: Column) -> Column:
+    return F.nullif(F.trim(c), F.lit(""))
+
+
+def _point_list(raw: Column) -> Column:
+    """array<struct(name, p)> of a JSON list of points; an item with a list of points gives those, under its name."""
+    items = F.coalesce(F.from_json(raw, _NESTED), F.array().cast(_NESTED))
+
+    def own(i: Column) -> Column:
+        name = F.coalesce(_present(i["series_name"]), _present(i["series"]), _present(i["name"]))
+        inner = F.coalesce(i["data_points"], i["points"])
+        point = F.struct(*[i[c].alias(c) for c in _POINT])
+        named = lambda n, p: F.struct(n.alias("name"), p.alias("p"))
+        return F.when(inner.isNotNull(), F.transform(inner, lambda p: named(F.coalesce(_present(p["series_name"]), name), p))).otherwise(F.array(named(_present(i["series_name"]), point)))
+
+    return F.flatten(F.transform(items, own))
+
+
+def rebuilt_points(results: DataFrame, payload: str = "payload") -> DataFrame:
+    """`results` with a row for each point of their stored JSON that has a y or a z: point_index from 1, fact_id, series, x, y, z.
+
+    Points come from the result's list, else from its raw output's list, else from the raw output's series; numbers stay as they were
+    written, so 0.0 is a value. x falls back to the category, then to the axis' label.
+    """
+    get = lambda p: F.get_json_object(payload, p)
+    lists = [_point_list(get(p)) for p in ("$.points", "$.raw_output.data_points", "$.raw_output.series")]
+    found = F.when(F.size(lists[0]) > 0, lists[0]).when(F.size(lists[1]) > 0, lists[1]).otherwise(lists[2])
+    keep = [c for c in results.columns if c != payload]
+    rows = results.select(*keep, get("$.x_axis.unit").alias("__x_unit"), F.posexplode(found).alias("__pos", "__q"))
+    p = lambda *cs: F.coalesce(*[_present(F.col(f"__q.p.{c}")) for c in cs])
+    series = F.coalesce("__q.name", p("series"), F.lit(""))
+    category = F.coalesce(p("category_label", "category"), F.lit(""))
+    token = F.regexp_replace(F.when(series == "", "series").otherwise(series), r"[^A-Za-z0-9._-]+", "_")
+    index = F.col("__pos") + 1
+    out = rows.select(
+        *keep,
+        F.concat_ws(":", *keep, token, index.cast("string")).alias("fact_id"),
+        index.cast("string").alias("point_index"),
+        series.alias("series_name"),
+        F.coalesce(p("x_value", "x"), F.nullif(category, F.lit("")), p("x_axis_label", "x_label"), F.lit("")).alias("x_value"),
+        F.coalesce(p("x_unit"), _present(F.col("__x_unit")), F.lit("")).alias("x_unit"),
+        p("y_value", "y").alias("y_value"),
+        p("z_value", "z").alias("z_value"),
+        category.alias("category_label"),
+    )
+    return out.filter("y_value IS NOT NULL OR z_value IS NOT NULL")

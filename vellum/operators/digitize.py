@@ -157,3 +157,12 @@ def fact_rows(points: DataFrame, results: DataFrame, events: DataFrame) -> DataF
 def natural_key(scope: Column, base: Column, index: Column, payload: Column) -> Column:
     """scope:base:index8:hash16 with the SHA-256 of the payload's canonical JSON (sorted keys, compact)."""
     return F.concat_ws(":", scope, F.substring(base, 1, 120), F.lpad(index.cast("string"), 8, "0"), F.substring(F.sha2(F.to_json(F.parse_json(payload)), 256), 1, 16))
+
+
+def chart_payload(answer: Column) -> Column:
+    """JSON object of a chart answer: decoded, out of its wrapper if it has one; an answer that is no object gives a failed result that says why."""
+    decoded = decode_json(answer)
+    inner = F.try_variant_get(decoded, "$.chart_digitization_result", "variant")
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    failed = F.to_json(F.struct(F.lit("failed").alias("digitization_status"), F.array(F.lit("non_json_chart_digitization_output")).alias("warnings"), answer.alias("raw_output_text")))
+    return F.when(is_object(inner), F.to_json(inner)).when(is_object(decoded), F.to_json(decoded)).otherwise(failed)

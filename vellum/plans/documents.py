@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import geom, text
-from vellum.operators import assets, audit, captions, matching, scheduling
+from vellum.operators import assets, audit, captions, digitize, matching, scheduling
 from vellum.session import scratch, table
 from vellum.sources import files, sinks
 
@@ -134,10 +134,29 @@ def box_forms(spark, d):
     return p.select("p_partkey", geom.area(geom.valid_box(box)).alias("area"), name.alias("name"), text.strip_tags(F.concat(F.lit("<b>"), "p_name", F.lit("</b>  x"))).alias("plain"), assets.image_readability(F.col("p_size") * 10, F.lit(300)).alias("read"), ready.alias("ready"))
 
 
+def rebuilt_points(spark, d):
+    """Points of users' stored results: listed, nested under a series, or in the raw output; those without a value go."""
+    e = table(spark, d, "events")
+    point = F.struct(F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("x"), F.when(F.col("event_type") != "error", F.col("event_id") % 4).alias("y_value"), F.col("event_type").alias("category"))
+    g = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", point.alias("p")))).alias("ps"))
+    ps, k = F.col("ps.p"), F.col("user_id") % 3
+    raw = F.when(k == 0, F.to_json(F.struct(ps.alias("points")))).when(k == 1, F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("s 1").alias("name"), ps.alias("points"))).alias("data_points")).alias("raw_output")))).otherwise(F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("s2").alias("series_name"), ps.alias("data_points"))).alias("series")).alias("raw_output"))))
+    return audit.rebuilt_points(g.select(F.col("user_id").cast("string").alias("panel_id"), raw.alias("payload"))).drop("z_value", "x_unit")
+
+
+def chart_payloads(spark, d):
+    """Answers of events: objects, objects in a wrapper or between prose, and texts that are none."""
+    e = table(spark, d, "events")
+    k, own = F.col("event_id") % 4, F.concat(F.lit('{"chart_type":"'), "event_type", F.lit('"}'))
+    a = F.when(k == 0, own).when(k == 1, F.concat(F.lit('{"chart_digitization_result":'), own, F.lit("}"))).when(k == 2, F.concat(F.lit("So: "), own, F.lit(" ok"))).otherwise("none")
+    p = digitize.chart_payload(a)
+    return e.select("event_id", F.get_json_object(p, "$.chart_type").alias("chart_type"), F.get_json_object(p, "$.digitization_status").alias("status"), F.get_json_object(p, "$.raw_output_text").alias("text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        markdown_references, markdown_tables, image_headers, event_summaries, panel_references, caption_choice, reference_blocks, packet_images, title_names, stale_and_repeated, snapshot_manifest, written_panels,
+        rebuilt_points, chart_payloads, markdown_references, markdown_tables, image_headers, event_summaries, panel_references, caption_choice, reference_blocks, packet_images, title_names, stale_and_repeated, snapshot_manifest, written_panels,
         appended_rows, box_forms,
     )
 }
@@ -146,6 +165,9 @@ ORACLE = {
     "markdown_references": """WITH l AS (SELECT conv_id, turn AS no, role = 'user' AS head, CASE WHEN role = 'user' THEN '# S' || turn ELSE '![alt ' || turn || '](./img/' || turn || '.png "t")' END AS line FROM conversations),
 w AS (SELECT *, last_value(CASE WHEN head THEN 'S' || no END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY no) AS section, string_agg(line, chr(10) ORDER BY no) OVER (PARTITION BY conv_id ORDER BY no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM l)
 SELECT conv_id::VARCHAR AS path, no::INT AS line_no, section, near, 'alt ' || no AS alt, 'img/' || no || '.png' AS image FROM w WHERE NOT head""",
+    "rebuilt_points": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE user_id % 3 WHEN 0 THEN '' WHEN 1 THEN 's 1' ELSE 's2' END AS s FROM events)
+SELECT user_id::VARCHAR AS panel_id, user_id || ':' || CASE s WHEN '' THEN 'series' WHEN 's 1' THEN 's_1' ELSE s END || ':' || i AS fact_id, i::VARCHAR AS point_index, s AS series_name, CASE WHEN event_id % 3 <> 0 THEN event_id::VARCHAR ELSE event_type END AS x_value, (event_id % 4)::VARCHAR AS y_value, event_type AS category_label FROM n WHERE event_type <> 'error'""",
+    "chart_payloads": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN event_type END AS chart_type, CASE WHEN event_id % 4 = 3 THEN 'failed' END AS status, CASE WHEN event_id % 4 = 3 THEN 'none' END AS text FROM events",
     "markdown_tables": "SELECT o_custkey, (count(*) + 1)::INT AS n_rows, 'key,status' AS head, min(o_orderkey)::VARCHAR AS first FROM orders GROUP BY o_custkey",
     "image_headers": "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN (p_partkey + 1)::INT END AS width, CASE WHEN p_partkey % 3 <> 0 THEN p_size END AS height FROM part",
     "event_summaries": """WITH e AS (SELECT user_id AS run_id, event_id, CASE WHEN event_id % 13 <> 0 THEN event_type END AS t, event_id % 5 AS k, CASE event_type WHEN 'click' THEN 'chart_facts_extracted' WHEN 'error' THEN 'phase failed' WHEN 'purchase' THEN 'metric_candidates_created' WHEN 'signup' THEN 'benchmark_metrics_accepted' ELSE 'image_observation_completed' END AS name FROM events),
