@@ -20,7 +20,7 @@ from vellum.llm.components import components
 WORDS = 5
 #: Ranges of tokens that are counted apart, at least; with more shuffle partitions, as many as those; and one for
 #: so many bytes of text, so that a range of any table fits a task.
-BUCKETS, BUCKET_BYTES = 64, 48 << 20
+BUCKETS, BUCKET_BYTES = 64, 8 << 20
 #: Documents and shingles of one cell of the search; a larger cluster is searched in pairs of such blocks.
 CELL, CELL_SHINGLES = 1500, 2_000_000
 #: Members of a component that a set is compared with before it searches.
@@ -325,8 +325,8 @@ def _candidates(docs: DataFrame, sets: DataFrame, n_buckets: int, clash: frozens
     Two sets with similarity 0.8 share a token of their prefixes: the n - ceil(0.8 n) + 1 rarest of n.
     A set with that many tokens of its own has no candidate, and its tokens go no further.
     """
-    # as many partitions as buckets, so that a task's share does not grow with the table
-    shared = _postings(docs, n_buckets, clash, bits).repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_shared, "bucket int, set bigint, n int, tokens binary, counts binary")
+    # a partition is a bucket, so that a task's share does not grow with the table
+    shared = _postings(docs, n_buckets, clash, bits).repartitionById(n_buckets, "bucket").groupBy("bucket").applyInArrow(_shared, "bucket int, set bigint, n int, tokens binary, counts binary")
     cells = shared.groupBy("set").agg(F.sum("n").alias("n"), F.collect_list(F.struct("bucket", "tokens", "counts")).alias("cells"))
     sizes = sets.groupBy(F.col("h1").alias("set")).agg(F.max("n_shingles").alias("n_shingles"), F.min("n_tokens").alias("n_tokens"))
     prefix = F.col("n_shingles") - F.expr("(4 * n_shingles + 4) div 5") + 1
