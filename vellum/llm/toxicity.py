@@ -30,8 +30,8 @@ TOP, DENSITY, DOCUMENT_STEPS = 3, 5.0, 400
 #: Besides the word itself, its beginnings of these lengths can mark toxic text (inflected and compound words).
 #: A beginning needs so many different words in toxic texts.
 STEMS, STEM_WORDS = (4, 5, 6, 7), 3
-#: Words of a worker whose marks are remembered; words of one batch of sequences.
-REMEMBERED, CELLS = 500_000, 250_000
+#: Words of a worker whose marks are remembered; words of one batch of sequences; bytes of text that the fit takes at a time.
+REMEMBERED, CELLS, FIT_BLOCK = 500_000, 250_000, 500_000
 N_FEATURES = 6
 
 
@@ -105,12 +105,12 @@ def split(data: np.ndarray, rows: np.ndarray) -> Split:
     return Split(numbers, [w.decode("utf-8", "replace") for w in words], starts, ends, np.searchsorted(starts, rows), capital)
 
 
-def split_all(texts: list[str]) -> Split:
+def split_all(texts: pa.Array) -> Split:
     """`split` of many texts block by block, without places; numbers are of all texts' words together."""
     number: dict[str, int] = {}
     numbers, capital, first = [], [], [np.zeros(1, np.int64)]
-    data, rows = text_bytes(pa.array(texts, pa.string()))
-    for a, b in byte_blocks(rows):
+    data, rows = text_bytes(texts)
+    for a, b in byte_blocks(rows, FIT_BLOCK):
         s = split(data[rows[a] : rows[b]], rows[a : b + 1] - rows[a])
         own = np.array([number.setdefault(w, len(number)) for w in s.words], np.int32)
         numbers.append(own[s.numbers])
@@ -203,7 +203,7 @@ def _tail(k: int, n: int, p: float) -> float:
     return sum(math.exp(log(x)) for x in range(k, n + 1))
 
 
-def _groups(texts: list[str]) -> np.ndarray:
+def _groups(texts: pa.Array) -> np.ndarray:
     """A number for each text; texts with one of three least shingle hashes in common have the same."""
     up, first = list(range(len(texts))), {}
 
@@ -213,9 +213,9 @@ def _groups(texts: list[str]) -> np.ndarray:
             i = up[i]
         return i
 
-    _, rows = text_bytes(pa.array(texts, pa.string()))
-    for a, b in byte_blocks(rows, 500_000):
-        owner, got = shingles(texts[a:b])
+    _, rows = text_bytes(texts)
+    for a, b in byte_blocks(rows, FIT_BLOCK):
+        owner, got = shingles(texts.slice(a, b - a).to_pylist())
         at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
         for salt in (11, 12, 13) if len(owner) else ():
             for d, h in zip((owner[at] + a).tolist(), np.minimum.reduceat(mixed(got, salt), at).tolist(), strict=True):
@@ -349,16 +349,19 @@ def _document(z: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, int]]) -> Field:
-    """A field from (text, toxic) rows: the words that mark toxic texts, the field's weights, the document's weights.
+    """`fit_columns` of (text, toxic) rows."""
+    return fit_columns(pa.array([t for t, _ in rows], pa.string()), np.array([t for _, t in rows], np.int64))
+
+
+def fit_columns(texts: pa.Array, toxic: np.ndarray) -> Field:
+    """A field from texts and their labels: the words that mark toxic texts, the field's weights, the document's weights.
 
     The document's weights are fitted on marginals of texts that had no part in the words: each half of
     the groups of near copies is scored with words of the other. Without texts of both kinds nothing is toxic.
     """
     none = Field({}, np.array([-8.0, *[0.0] * (N_FEATURES - 1)]), np.zeros((2, 2)))
-    toxic = np.array([t for _, t in rows], np.int64)
-    if not rows or len(np.unique(toxic)) < 2:
+    if len(np.unique(toxic)) < 2:
         return none
-    texts = [t for t, _ in rows]
     s, groups = split_all(texts), _groups(texts)
     words = marking(s, toxic, groups)
     if not words or not (np.diff(s.first) > 0)[toxic == 1].any():
@@ -433,8 +436,8 @@ def held_out(ident):
 
 def fit_field(docs: DataFrame, labels: DataFrame) -> Field:
     """The field of a bounded, fixed sample of the labelled rows, fitted on the driver."""
-    rows = training_rows(docs, labels).collect()  # the two bounds, at most
-    return fit([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["toxic"]))])
+    rows = training_rows(docs, labels).orderBy("doc_id", "toxic").select("text", "toxic").toArrow()  # the two bounds, at most; Arrow's bytes, no strings
+    return fit_columns(rows["text"].combine_chunks(), rows["toxic"].to_numpy().astype(np.int64))
 
 
 def score_block(data: np.ndarray, rows: np.ndarray, field: Field, ratios: Ratios) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
