@@ -5,11 +5,13 @@ import random
 import re
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import units
 from vellum.operators import assets, audit, captions, digitize, graph, heatmap, markers, matching, ontology, relational, repair, scheduling, spatial
+from vellum.plans import reports as report_plans
 from vellum.sources import files, sinks
 from vellum.streaming import queues
 
@@ -211,6 +213,31 @@ def test_assets(spark):
     assert out(None, 400, 5000, "growth", "", "a", "chart") == (None, "low_confidence", "unknown", "experimental_performance_plot")
 
 
+def test_layout_blocks_do_not_carry_their_page(spark):
+    # each block came with the VARIANT of its whole page, which grew with the square of a page's blocks
+    file = json.dumps([{"page_idx": 2, "preproc_blocks": [{"type": f"t{i}", "bbox": [0, 0, i, 1]} for i in range(3)]}, {"page_id": 7, "blocks": [{"bbox": [1, 2, 3, 4]}]}, 5, {"blocks": 1}])
+    f = spark.createDataFrame([("a", file), ("b", '{"x": {"blocks": [{"bbox": [1, 2, 3, 4]}]}}'), ("c", '{"pages": 3}'), ("d", None)], "path string, value string")
+    got = files.load_layout(f)
+    assert sorted((r["doc"], r["page"], r["pos"], r["type"] or "", r["bbox"][2]) for r in got.collect()) == [("a", 2, 0, "t0", 0.0), ("a", 2, 1, "t1", 1.0), ("a", 2, 2, "t2", 2.0), ("a", 7, 0, "", 3.0)]
+    plan = got._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Generate":
+        plan = plan.children().head()
+    assert plan.schema().simpleString().count("variant") == 1
+
+
+def test_layout_files_of_a_brand_stay_small(spark, tmp_path, monkeypatch):
+    # a brand was one file, however many parts it has; rows without a key or of no brand are as in the SQL
+    rows = [(i * 9_999, "b/1" if i % 2 else None, f"t{i}", i) for i in range(40)] + [(None, "b/1", "a", 9)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    seen, load = [], files.load_layout
+    monkeypatch.setattr(files, "load_layout", lambda f: seen.append(f) or load(f))
+    got = report_plans.loaded_layout(spark, f"file://{tmp_path}").collect()
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute(report_plans.ORACLE["loaded_layout"]).fetchall(), key=str)
+    assert seen[0].filter("path is not null").count() == 20
+
+
 def test_ontology(spark):
     rows = [("r", "growth rate", "1/h", "p1", 0), ("r", "growth rate", "1/s", "p2", 1), ("r", "pore size", "inch", "p1", 2), ("r", "pore size", "nm", "p1", 2), ("r", "yield", "kg", "p1", 3), ("other", "growth rate", "1/h", "p3", 4)]
     df = spark.createDataFrame([(r, m, u, p, "f", "a", "", ["e"], None, 0.5, i) for r, m, u, p, i in rows], "rejection_reason string, metric_name string, unit string, paper_id string, figure_id string, panel_id string, evidence_text string, evidence_ids array<string>, group_id string, confidence double, pos int")

@@ -38,13 +38,13 @@ def loaded_blocks(spark, d):
 
 
 def loaded_layout(spark, d):
-    """Parts as layout pages of a brand; boxes of three numbers go."""
-    p = table(spark, d, "part")
-    box = F.when(F.col("p_partkey") % 4 == 0, F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.lit(0), F.lit(0), F.col("p_size"), F.lit(9)))
-    g = p.groupBy("p_brand", (F.col("p_partkey") % 3).alias("page_idx")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", F.struct(F.col("p_type").alias("type"), box.alias("bbox")).alias("b")))).alias("own"))
-    doc = g.groupBy("p_brand").agg(F.struct(F.array_sort(F.collect_list(F.struct("page_idx", F.col("own.b").alias("preproc_blocks")))).alias("pages")).alias("j"))
-    l = files.load_layout(doc.select(F.col("p_brand").alias("path"), F.to_json("j").alias("value")))
-    return l.groupBy("doc", "page").agg(F.count("*").alias("n"), F.sum(F.col("bbox")[2]).alias("width"), F.min("type").alias("first_type"))
+    """Parts as layout pages of a brand, a file for each 20,000 keys of it; boxes of three numbers go."""
+    p = table(spark, d, "part").withColumn("path", F.concat(F.expr("p_partkey div 20000").cast("string"), F.lit("/"), "p_brand"))
+    box = F.when(F.col("p_partkey") % 4 != 0, F.array(F.lit(0), F.lit(0), F.col("p_size"), F.lit(9))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(3)))
+    g = p.groupBy("path", (F.col("p_partkey") % 3).alias("page_idx")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", F.struct(F.col("p_type").alias("type"), box.alias("bbox")).alias("b")))).alias("own"))
+    doc = g.groupBy("path").agg(F.struct(F.array_sort(F.collect_list(F.struct("page_idx", F.col("own.b").alias("preproc_blocks")))).alias("pages")).alias("j"))
+    l = files.load_layout(doc.select("path", F.to_json("j").alias("value")))
+    return l.groupBy(F.regexp_replace("doc", "^[^/]*/", "").alias("doc"), "page").agg(F.count("*").alias("n"), F.sum(F.col("bbox")[2]).alias("width"), F.min("type").alias("first_type"))
 
 
 def _blocks(spark, d):

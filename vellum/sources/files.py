@@ -53,16 +53,18 @@ def load_blocks(files: DataFrame) -> DataFrame:
 
 def load_layout(files: DataFrame) -> DataFrame:
     """Layout blocks of a list of pages or {pages: [...]}; boxes without four numbers and broken files give no rows."""
-    raw = files.withColumn("json", F.try_parse_json("value")).withColumn("pages", F.coalesce(F.try_variant_get("json", "$.pages", "variant"), F.col("json")))
-    lists = raw.filter(F.schema_of_variant("pages").startswith("ARRAY<"))
-    rows = files.sparkSession.sql(
-        "SELECT path AS doc, p.pos AS ordinal, p.value AS pg, b.pos AS pos, b.value AS block FROM {lists}, LATERAL variant_explode(pages) p, "
-        "LATERAL variant_explode(coalesce(try_variant_get(p.value, '$.preproc_blocks', 'variant'), try_variant_get(p.value, '$.blocks', 'variant'))) b",
-        lists=lists,
+    raw = files.select("path", F.try_parse_json("value").alias("json"))
+    # only a list's values have no key; a page's number is taken before its blocks are dealt out, so that no block carries its whole page
+    pages = files.sparkSession.sql(
+        "SELECT path AS doc, p.pos AS ordinal, p.value AS pg FROM {raw}, LATERAL variant_explode(coalesce(try_variant_get(json, '$.pages', 'variant'), json)) p WHERE p.key IS NULL",
+        raw=raw,
     )
+    get = lambda p, t: F.try_variant_get("pg", p, t)
+    page = F.coalesce(get("$.page_idx", "int"), get("$.page_id", "int"), F.col("ordinal"))
+    own = pages.select("doc", page.alias("page"), F.coalesce(get("$.preproc_blocks", "variant"), get("$.blocks", "variant")).alias("blocks"))
+    rows = files.sparkSession.sql("SELECT doc, page, b.pos AS pos, b.value AS block FROM {own}, LATERAL variant_explode(blocks) b", own=own)
     box = F.array(*[F.try_variant_get("block", f"$.bbox[{i}]", "double") for i in range(4)])
-    page = F.coalesce(F.try_variant_get("pg", "$.page_idx", "int"), F.try_variant_get("pg", "$.page_id", "int"), F.col("ordinal"))
-    return rows.select("doc", page.alias("page"), "pos", F.try_variant_get("block", "$.type", "string").alias("type"), box.alias("bbox")).filter(F.forall("bbox", lambda x: x.isNotNull()))
+    return rows.select("doc", "page", "pos", F.try_variant_get("block", "$.type", "string").alias("type"), box.alias("bbox")).filter(F.forall("bbox", lambda x: x.isNotNull()))
 
 
 def markdown_images(files: DataFrame) -> DataFrame:
