@@ -114,9 +114,9 @@ def written_panels(spark, d):
     path = scratch(spark, "panels")
     sinks.write_panel_csv(e, f"{path}/csv", {"source": "t"})
     sinks.write_json_lines(e, f"{path}/json", ["event_id"])
-    c = spark.read.option("header", True).csv(f"{path}/csv").groupBy("panel_file").agg(F.count("*").alias("n"), F.max("source").alias("source"))
+    c = sinks.read_panel_csv(spark, f"{path}/csv", ["event_id", "panel_id", "source"]).groupBy("panel_file").agg(F.count("*").alias("n"), F.max("source").alias("source"))
     j = spark.read.text(f"{path}/json").agg(F.lit("json").alias("panel_file"), F.count("*").alias("n"), F.min("value").alias("source"))
-    return c.unionByName(j)
+    return j.unionByName(c)
 
 
 def appended_rows(spark, d):
